@@ -45,6 +45,14 @@ def choose_bands(threshold: float, recall: float, most: int = MOST_PERMUTATIONS)
     return best
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+SKETCH = "doc_id long, d1 long, d2 long, grams long, bands array<long>"
+
+
 def sketches(n: int, bands: int, rows: int):
     rng = np.random.default_rng(7)
     a = rng.integers(0, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
@@ -68,6 +76,8 @@ def sketches(n: int, bands: int, rows: int):
             g, bounds = W.grams(h, first, n)
             top = (g >> W.U(32)).astype(np.uint32)
             low = bounds[:-1]
+            distinct = unique((np.repeat(np.arange(len(low), dtype=np.uint64), np.diff(bounds)) << W.U(44)) | (g >> W.U(20)))
+            distinct = np.bincount((distinct >> W.U(44)).astype(np.int64), minlength=len(low))
             out = np.empty((bands, len(low)), np.uint64)
             for i in range(bands):
                 key = np.full(len(low), i + 1, np.uint64)
@@ -78,7 +88,7 @@ def sketches(n: int, bands: int, rows: int):
                 out[i] = key
             flat = out.T.reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists], ["doc_id", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(distinct), lists], ["doc_id", "d1", "d2", "grams", "bands"])
 
     return run
 
@@ -92,10 +102,6 @@ def similarities(n: int, threshold: float):
         # 16 bits name the pair within the slice, 48 are the gram's
         return unique((pair << W.U(48)) | (g >> W.U(16)))
 
-    def unique(x: np.ndarray) -> np.ndarray:
-        x.sort()
-        return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers()
         for batch in gathered(batches, "a_text", SLICE):
@@ -112,10 +118,14 @@ def similarities(n: int, threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, few: bool) -> DataFrame:
-    """The pairs (a, b) that reach the threshold. ``few``: the pairs' ids fit a filter in every task."""
-    if few:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+#: Distinct ids of pairs up to this many (some 10 MB) go to every task as a filter on the texts; more are met by a shuffled join.
+FEW_IDS = 250_000
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) that reach the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= FEW_IDS:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
     # the smaller row first: pivots meet their pairs in the second join, where AQE splits a pivot of many
@@ -160,10 +170,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-#: Ids of pairs up to this many are sent to every task as a filter; more are met by a shuffled join.
-FEW_PAIRS = 50_000
-
-
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Documents that have a near copy: (doc_id, partner_id, jaccard, group_id).
 
@@ -180,38 +186,40 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     tune(spark)
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered("text").alias("text")).filter("doc_id is not null")
-    sketch = stored(texts.mapInArrow(sketches(n, bands, rows), "doc_id long, d1 long, d2 long, bands array<long>"), "sketch")
+    sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
     repeated = sketch.count() != sketch.select("doc_id").distinct().count()
     if repeated:
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
         remove(spark, sketch.stored_at)
-        sketch = stored(texts.mapInArrow(sketches(n, bands, rows), "doc_id long, d1 long, d2 long, bands array<long>"), "sketch")
+        sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
 
     same = Window.partitionBy("d1", "d2")
     copies = sketch.select("doc_id", F.min("doc_id").over(same).alias("partner_id")).filter("doc_id > partner_id").withColumn("jaccard", F.lit(1.0))
-    originals = sketch.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("s")).select("s.*")
+    originals = sketch.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "grams", "bands"), "doc_id").alias("s")).select("s.*")
     buckets = stored(
-        originals.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
-        .withColumns({"pivot": F.min("doc_id").over(Window.partitionBy("bucket")), "members": F.count("*").over(Window.partitionBy("bucket"))})
-        .filter("members > 1").drop("members"),
+        originals.select("doc_id", "grams", F.posexplode("bands").alias("band", "hash")).select("doc_id", "grams", F.xxhash64("band", "hash").alias("bucket"))
+        .withColumns({"pivot": F.min(F.struct("doc_id", "grams")).over(Window.partitionBy("bucket")), "members": F.count("*").over(Window.partitionBy("bucket"))})
+        .filter("members > 1").select("doc_id", "grams", "bucket", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.grams").alias("pivot_grams")),
         "buckets",
     )
-    near = buckets.filter("doc_id > pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("shared"))
+    # sets of sizes a <= b have a similarity of at most a / b
+    near = buckets.filter("doc_id > pivot").filter(F.least("grams", "pivot_grams") >= F.greatest("grams", "pivot_grams") * F.lit(threshold - 1e-6)).groupBy("doc_id", "pivot").agg(F.count("*").alias("shared"))
     best = near.groupBy("doc_id").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
     first = stored(best.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "pairs")
-    links = stored(verified(first, texts, n, threshold, first.count() <= FEW_PAIRS).unionByName(copies), "links")
+    links = stored(verified(first, texts, n, threshold).unionByName(copies), "links")
     remove(spark, first.stored_at)
     remove(spark, sketch.stored_at)
 
     root = roots(links)
-    treed = buckets.select("doc_id", "bucket").join(root, "doc_id", "left").select("doc_id", "bucket", F.coalesce("root", "doc_id").alias("root"))
+    treed = buckets.select("doc_id", "grams", "bucket").join(root, "doc_id", "left").select("doc_id", "grams", "bucket", F.coalesce("root", "doc_id").alias("root"))
     spread = Window.partitionBy("bucket")
-    open_ = stored(treed.withColumns({"low": F.min("root").over(spread), "high": F.max("root").over(spread)}).filter("low < high").select("doc_id", "bucket", "root"), "open")
-    other = open_.select(F.col("doc_id").alias("b"), "bucket", F.col("root").alias("b_root"))
+    open_ = stored(treed.withColumns({"low": F.min("root").over(spread), "high": F.max("root").over(spread)}).filter("low < high").select("doc_id", "grams", "bucket", "root"), "open")
+    other = open_.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams"), "bucket", F.col("root").alias("b_root"))
     # a bucket's pairs: of two trees, each pair once, save those that were verified before
-    across = open_.select(F.col("doc_id").alias("a"), "bucket", F.col("root").alias("a_root")).join(other, "bucket").filter("a_root != b_root and a > b").select("a", "b").distinct()
+    fits = F.least("grams", "b_grams") >= F.greatest("grams", "b_grams") * F.lit(threshold - 1e-6)
+    across = open_.select(F.col("doc_id").alias("a"), "grams", "bucket", F.col("root").alias("a_root")).join(other, "bucket").filter("a_root != b_root and a > b").filter(fits).select("a", "b").distinct()
     rest = stored(across.join(links.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    found = stored(verified(rest, texts, n, threshold, rest.count() <= FEW_PAIRS), "links")
+    found = stored(verified(rest, texts, n, threshold), "links")
     remove(spark, rest.stored_at)
     remove(spark, open_.stored_at)
     remove(spark, buckets.stored_at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, ngram_join, quality_cnn
 from .shared import table
 
 
@@ -12,6 +12,17 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join,)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept, with their probability."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_cnn.classified(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest match of each document and benchmark item; the pipeline's stage removes these documents."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_quality_classifier, op8_decontamination)}
 
 ORACLES: dict[str, str] = {}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Long documents make wide rows, so this is far below Spark's default.
 ARROW_ROWS = 256
+#: Rows in a batch joined from several.
+GATHERED_ROWS = 1 << 16
 
 
 def tune(spark: SparkSession) -> None:
@@ -104,14 +106,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
 def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Join batches into ones of about ``limit`` bytes of ``column``; a longer row stands alone."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for part in slices(batches, column, limit):
         raw, _ = text_buffer(part.column(column))
-        if held and size + len(raw) > limit:
+        if held and (size + len(raw) > limit or rows + part.num_rows > GATHERED_ROWS):
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            held, size, rows = [], 0, 0
         held.append(part)
         size += len(raw)
+        rows += part.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
