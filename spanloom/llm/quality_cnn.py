@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import free_name, gathered, stored, text_buffer, tune
 
@@ -163,7 +164,7 @@ def scored(docs: DataFrame, model: dict, name: str = "probability") -> DataFrame
             p = probabilities(*text_buffer(batch.column(at)), held.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.float64))], [*inner, "p"])
 
-    out = plain.mapInArrow(run, plain.schema.add("p", "double"))
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("p", T.DoubleType())]))
     return out.toDF(*docs.columns, column)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality_cnn
+from . import decontaminate, mixing, ngram_join, quality_cnn, sharding
 from .shared import table
 
 
@@ -23,6 +23,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_join, op5_quality_classifier, op8_decontamination)}
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_hilbert_sharding, op4_ngram_join, op5_quality_classifier, op8_decontamination, op10_source_mixing)}
+
+ORACLES: dict[str, str] = {
+    "op3_hilbert_sharding": sharding.oracle_sql(),
+}
