@@ -216,3 +216,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, match_words: int = MAT
     """``docs`` without the documents that have a match. All columns stay; rows without a doc_id stay, as they can't be named."""
     found = stored(matches(docs, benchmark, match_words, least_words).select("doc_id").distinct(), "leaks")
     return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
+
+
+def oracle_sql(match_words: int = MATCH_WORDS, least_words: int = LEAST_WORDS) -> str:
+    """The same by joining runs of words and merging those that follow each other."""
+    words = "regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, {words} AS w, least({match_words}, len(w)) AS m FROM benchmark WHERE item_id IS NOT NULL AND len({words}) >= {least_words}),
+bg AS (SELECT item_id, m, unnest(range(len(w) - m + 1)) AS q, w[q + 1 : q + m] AS gram FROM b),
+sizes AS (SELECT DISTINCT m FROM b),
+dp AS (SELECT doc_id, m, w, unnest(range(len(w) - m + 1)) AS p FROM d, sizes WHERE len(w) >= m),
+hit AS (SELECT doc_id, item_id, bg.m, p, q FROM (SELECT doc_id, m, p, w[p + 1 : p + m] AS gram FROM dp) x JOIN bg ON x.m = bg.m AND x.gram = bg.gram),
+run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM (SELECT DISTINCT * FROM hit)),
+found AS (SELECT doc_id, item_id, min(p) AS p, min(q) AS q, count(*) - 1 + any_value(m) AS n FROM run GROUP BY doc_id, item_id, p - q, island)
+SELECT doc_id, item_id, n::INTEGER AS match_words, p::INTEGER AS doc_word, q::INTEGER AS item_word FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, p, q) = 1"""
