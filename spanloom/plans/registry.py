@@ -1,12 +1,555 @@
-"""Queries over the reference tables, by name, with their DuckDB SQL."""
+"""Queries over the span operators, by name, each with the same in DuckDB."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import jsonpath, scalars, text
+from ..operators import aggregates, lifecycle, vectors
+from ..sources import ingest
+from ..sources.events import SPANS_SQL, spans, spans_of, table, with_parent
+from ..sources.storage import SpanStore
+from ..streaming import spans as streams
+from .dialect import Engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+WITH = f"WITH {SPANS_SQL} "
+PARENT = f"WITH {SPANS_SQL}, tree AS (SELECT *, lag(span_id) OVER (PARTITION BY trace_id ORDER BY start_time_ms, span_id) AS parent_span_id FROM spans) "
+ID = "span_id, model, duration_ms"
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Error rate and 95th percentile of duration by model, for one tenant."""
+    own = spans(spark, sf_dir).filter("tenant_id = 1")
+    p95 = aggregates.percentiles(own, ["model"], "duration_ms", {"p95_ms": 0.95})
+    rate = own.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("status") == "error") / F.count(F.lit(1)), 6).alias("error_rate"))
+    return rate.join(p95, "model")
+
+
+query(
+    WITH + "SELECT model, count(*) AS n, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, "
+    "list_sort(list(duration_ms))[least(floor(count(*) * 0.95::double), count(*) - 1)::int + 1] AS p95_ms FROM spans WHERE tenant_id = 1 GROUP BY model",
+    "flagship",
+)(flagship)
+
+# -- predicates ------------------------------------------------------------------------------------------------
+
+
+def _filter(name: str, condition: str, columns: str = ID, duck: str | None = None) -> None:
+    query(WITH + f"SELECT {columns} FROM spans WHERE {duck or condition}", name)(lambda s, d: spans(s, d).filter(condition).selectExpr(*columns.split(", ")))
+
+
+_filter("b1_trace_load", "trace_id = 't00000008'", "span_id, model")
+_filter("b2_attr_filter", "model = 'm3' AND status = 'error'")
+_filter("b4_time_slice", "start_time_ms >= 1704070000000 AND start_time_ms < 1704080000000", "span_id, start_time_ms")
+_filter("point_lookup_span", "span_id = 's000000000042'", "span_id, trace_id, model, cost_usd")
+_filter("filter_ne", "duration_ms <> 100")
+_filter("filter_lt", "duration_ms < 100")
+_filter("filter_le", "duration_ms <= 100")
+_filter("filter_gt", "duration_ms > 100")
+_filter("filter_ge", "duration_ms >= 100")
+_filter("filter_literal_on_left", "100 < duration_ms")
+_filter("filter_float", "cost_usd > 12.5", "span_id, cost_usd")
+_filter("filter_and", "model = 'm1' AND duration_ms > 100 AND status = 'ok'")
+_filter("filter_or", "model = 'm1' OR status = 'error'")
+_filter("filter_not", "NOT (model = 'm1')")
+_filter("filter_nested", "(model = 'm1' OR model = 'm2') AND NOT (status = 'error' AND duration_ms < 50)")
+_filter("filter_true", "TRUE", "span_id")
+_filter("filter_false", "FALSE", "span_id")
+_filter("filter_in", "model IN ('m1', 'm5')")
+_filter("filter_between", "duration_ms BETWEEN 50 AND 150")
+_filter("filter_like", "span_type LIKE 'cl%'", "span_id, span_type")
+_filter("filter_is_null", "metadata IS NULL OR cost_usd IS NOT NULL", "span_id")
+_filter("empty_time_range", "start_time_ms >= 1704080000000 AND start_time_ms < 1704070000000", "span_id")
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE NOT coalesce(json_extract_string(metadata, '$.k') = '69', false)")
+def filter_not_two_valued(s, d):
+    return spans(s, d).filter(scalars.two_valued_not(F.get_json_object("metadata", "$.k") == "69")).select("span_id")
+
+
+@query(WITH + "SELECT * FROM spans")
+def project_star(s, d):
+    return spans(s, d)
+
+
+@query(WITH + "SELECT span_id AS id, duration_ms / 1000.0::double AS seconds FROM spans")
+def project_alias(s, d):
+    return spans(s, d).select(F.col("span_id").alias("id"), (F.col("duration_ms") / F.lit(1000.0)).alias("seconds"))
+
+
+# -- aggregates ------------------------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model")
+def b8_count_by_model(s, d):
+    return spans(s, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT count(*) AS n, count(cost_usd) AS n_cost, count(DISTINCT trace_id) AS n_traces FROM spans")
+def global_count(s, d):
+    return spans(s, d).agg(F.count(F.lit(1)).alias("n"), F.count("cost_usd").alias("n_cost"), F.count_distinct("trace_id").alias("n_traces"))
+
+
+@query(WITH + "SELECT count(*) AS n FROM spans WHERE model = 'none'")
+def count_of_nothing(s, d):
+    return spans(s, d).filter("model = 'none'").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT model, count(*) AS n FROM spans WHERE start_time_ms >= 1704070000000 AND start_time_ms < 1704080000000 GROUP BY model")
+def count_time_range(s, d):
+    return spans(s, d).filter("start_time_ms >= 1704070000000 AND start_time_ms < 1704080000000").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT model, round(sum(cost_usd), 6) AS sum_cost_usd, round(avg(duration_ms), 6) AS avg_duration_ms, min(duration_ms) AS min_duration_ms, max(cost_usd) AS max_cost_usd FROM spans GROUP BY model")
+def agg_sum_avg_min_max(s, d):
+    return spans(s, d).groupBy("model").agg(F.round(aggregates.sum_or_zero("cost_usd"), 6).alias("sum_cost_usd"), F.round(F.avg("duration_ms"), 6).alias("avg_duration_ms"), F.min("duration_ms").alias("min_duration_ms"), F.max("cost_usd").alias("max_cost_usd"))
+
+
+@query(WITH + "SELECT coalesce(sum(cost_usd), 0.0::double) AS sum_cost_usd, avg(cost_usd) AS avg_cost_usd FROM spans WHERE model = 'none'")
+def sum_of_nothing(s, d):
+    return spans(s, d).filter("model = 'none'").agg(aggregates.sum_or_zero("cost_usd").alias("sum_cost_usd"), F.avg("cost_usd").alias("avg_cost_usd"))
+
+
+@query(WITH + "SELECT status, min(span_type) AS first_type, max(span_id) AS last_span FROM spans GROUP BY status")
+def agg_min_max_text(s, d):
+    return spans(s, d).groupBy("status").agg(F.min("span_type").alias("first_type"), F.max("span_id").alias("last_span"))
+
+
+def _percentile(q: float) -> None:
+    label = f"p{round(q * 100)}"
+    query(WITH + f"SELECT model, list_sort(list(duration_ms))[least(floor(count(*) * {q}::double), count(*) - 1)::int + 1] AS {label} FROM spans GROUP BY model", f"agg_percentile_{label}")(
+        lambda s, d: aggregates.percentiles(spans(s, d), ["model"], "duration_ms", {label: q})
+    )
+
+
+for _q in (0.5, 0.95, 0.99):
+    _percentile(_q)
+
+
+@query(WITH + "SELECT list_sort(list(cost_usd))[least(floor(count(*) * 0.0::double), count(*) - 1)::int + 1] AS p0, list_sort(list(cost_usd))[least(floor(count(*) * 1.0::double), count(*) - 1)::int + 1] AS p100 FROM spans")
+def agg_percentile_global(s, d):
+    return aggregates.percentiles(spans(s, d), [], "cost_usd", {"p0": 0.0, "p100": 1.0})
+
+
+@query(WITH + "SELECT model, status, count(*) AS n FROM spans GROUP BY model, status")
+def group_two_keys(s, d):
+    return aggregates.grouped(spans(s, d), ["model", "status"], [F.count(F.lit(1)).alias("n")])
+
+
+@query(WITH + "SELECT DISTINCT span_type, status FROM spans")
+def group_no_agg(s, d):
+    return aggregates.grouped(spans(s, d), ["span_type", "status"])
+
+
+@query(WITH + "SELECT coalesce(json_extract_string(metadata, '$.none'), '') AS key, count(*) AS n FROM spans GROUP BY 1")
+def group_null_key_text(s, d):
+    return spans(s, d).groupBy(scalars.key_text(F.get_json_object("metadata", "$.none")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model HAVING count(*) FILTER (status = 'error') > 10")
+def having(s, d):
+    return spans(s, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("e")).filter("e > 10").select("model", "n")
+
+
+@query(WITH + "SELECT model, status, count(*) AS n FROM spans GROUP BY ROLLUP (model, status)")
+def rollup(s, d):
+    return spans(s, d).rollup("model", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT model, status, count(*) AS n FROM spans GROUP BY CUBE (model, status)")
+def cube(s, d):
+    return spans(s, d).cube("model", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- order and limits ------------------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT span_id, cost_usd FROM spans ORDER BY cost_usd ASC NULLS LAST, span_id LIMIT 100")
+def order_asc_limit(s, d):
+    return aggregates.ordered(spans(s, d).select("span_id", "cost_usd"), "cost_usd", limit=100, tie="span_id")
+
+
+@query(WITH + "SELECT span_id, cost_usd FROM spans ORDER BY cost_usd DESC NULLS FIRST, span_id LIMIT 100")
+def order_desc_limit(s, d):
+    return aggregates.ordered(spans(s, d).select("span_id", "cost_usd"), "cost_usd", descending=True, limit=100, tie="span_id")
+
+
+@query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model ORDER BY n DESC, model LIMIT 3")
+def order_after_aggregate(s, d):
+    return spans(s, d).groupBy("model").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model").limit(3)
+
+
+@query(WITH + "SELECT span_id, start_time_ms FROM spans ORDER BY start_time_ms, span_id LIMIT 50 OFFSET 100")
+def order_offset(s, d):
+    return spans(s, d).select("span_id", "start_time_ms").orderBy("start_time_ms", "span_id").offset(100).limit(50)
+
+
+# -- full text -------------------------------------------------------------------------------------------------
+
+
+def _duck_match(q: str, column: str = "text") -> str:
+    low = f"lower({column})"
+
+    def of(node) -> str:
+        if node.kind == "tokens":
+            return f"regexp_matches({low}, '{text.pattern(node.parts)}')"
+        if node.kind == "not":
+            return f"(NOT {of(node.parts[0])})"
+        return "(" + (" AND " if node.kind == "all" else " OR ").join(map(of, node.parts)) + ")"
+
+    return of(text.parse(q))
+
+
+def _fts(name: str, q: str) -> None:
+    query(f"SELECT doc_id, lang FROM documents WHERE {_duck_match(q)}", name)(lambda s, d: table(s, d, "documents").filter(text.text_match("text", q)).select("doc_id", "lang"))
+
+
+_fts("b3_fts_term", "license")
+_fts("fts_or", "the les")
+_fts("fts_and", "the AND of AND license")
+_fts("fts_phrase", '"of the"')
+_fts("fts_phrase_long", '"under the mit license"')
+_fts("fts_not", "the AND NOT of")
+_fts("fts_signs", "+the -license")
+_fts("fts_grouped", '(license OR "public license") AND NOT gnu')
+_fts("fts_accents", "être OR für")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'les ')")
+def fts_substring(s, d):
+    return table(s, d, "documents").filter(text.text_match("text", "les ", "substring")).select("doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE {_duck_match('license')} AND lang = 'en'")
+def fts_and_attr(s, d):
+    return table(s, d, "documents").filter((F.col("lang") == "en") & text.text_match("text", "license")).select("doc_id", "source")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_duck_match('en', 'lang')} OR {_duck_match('license')}")
+def fts_any_column(s, d):
+    return table(s, d, "documents").filter(text.text_match_any(["lang"], "en") | text.text_match_any(["text"], "license")).select("doc_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND " + _duck_match("the"))
+def fts_conversations(s, d):
+    return table(s, d, "conversations").filter((F.col("role") == "user") & text.text_match("text", "the")).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND strlen(t) <= 40)) AS n_tokens FROM documents")
+def fts_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(text.tokens("text")).cast("long").alias("n_tokens"))
+
+
+# -- JSON ------------------------------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE json_extract_string(metadata, '$.k') = '69'")
+def b6_jsonpath(s, d):
+    return spans(s, d).filter(jsonpath.json_path_eq("metadata", "k", "69")).select("span_id")
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE json_extract_string(metadata, '$.k')::double >= 90")
+def json_path_range(s, d):
+    return spans(s, d).filter(jsonpath.json_path_compare("metadata", "k", ">=", 90)).select("span_id")
+
+
+_TAGS = "to_json(named_struct('tags', array(named_struct('n', model), named_struct('n', status)), 'e', CASE WHEN status = 'error' THEN array() ELSE array(1) END, 'p', named_struct('q', span_type))) AS m"
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE model = 'm2' OR status = 'm2'")
+def json_path_array_any(s, d):
+    return spans(s, d).selectExpr("span_id", _TAGS).filter(jsonpath.json_path_eq("m", "tags[*].n", "m2")).select("span_id")
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE span_type = 'click'")
+def json_path_nested(s, d):
+    return spans(s, d).selectExpr("span_id", _TAGS).filter(jsonpath.json_path_eq("m", "p.q", "click")).select("span_id")
+
+
+@query(WITH + "SELECT 'k' AS path, count(*) AS presence, count(DISTINCT json_extract_string(metadata, '$.k')) AS distinct_values FROM spans")
+def json_path_discovery(s, d):
+    return jsonpath.discover(spans(s, d), "metadata", "span_id")
+
+
+@query(WITH + "SELECT span_id AS key, 'k' AS path, json_extract_string(metadata, '$.k') AS value FROM spans")
+def json_leaves(s, d):
+    return jsonpath.leaves(spans(s, d), "metadata", "span_id")
+
+
+# -- vectors ---------------------------------------------------------------------------------------------------
+
+
+def _vector(s: SparkSession, d: str) -> list[float]:
+    return table(s, d, "embeddings").filter("vec_id = 7").first().embedding
+
+
+_DISTANCE = "list_distance(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 7))"
+
+
+@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 10")
+def knn_l2(s, d):
+    found = vectors.nearest(vectors.checked(table(s, d, "embeddings"), "embedding", 64), _vector(s, d), 10)
+    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE label = 3 ORDER BY {_DISTANCE}, vec_id LIMIT 10")
+def knn_filtered(s, d):
+    return vectors.nearest(table(s, d, "embeddings"), _vector(s, d), 10, where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE {_DISTANCE} <= 1.2")
+def knn_radius(s, d):
+    return vectors.within(table(s, d, "embeddings"), _vector(s, d), 1.2).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+# -- lifecycle -------------------------------------------------------------------------------------------------
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """Spans, and a later version of those with errors."""
+    own = spans(s, d)
+    again = own.filter("status = 'error'").withColumns({"commit_id": F.col("commit_id") + 1_000_000_000, "cost_usd": F.col("cost_usd") * 2, "status": F.lit("retried")})
+    return own.unionByName(again)
+
+
+_VERSIONS = f"WITH {SPANS_SQL}, v AS (SELECT * FROM spans UNION ALL SELECT * REPLACE (commit_id + 1000000000 AS commit_id, cost_usd * 2 AS cost_usd, 'retried' AS status) FROM spans WHERE status = 'error') "
+_LATEST = _VERSIONS + "SELECT span_id, status, cost_usd, commit_id FROM v QUALIFY row_number() OVER (PARTITION BY tenant_id, span_id ORDER BY {}) = 1"
+_KEPT = ("span_id", "status", "cost_usd", "commit_id")
+
+
+@query(_LATEST.format("commit_id DESC"))
+def dedup_latest(s, d):
+    return lifecycle.latest(_versions(s, d)).select(*_KEPT)
+
+
+@query(_LATEST.format("trace_id, start_time_ms, commit_id DESC"))
+def dedup_trace_order(s, d):
+    return lifecycle.latest(_versions(s, d), "trace_order").select(*_KEPT)
+
+
+@query(_LATEST.format("commit_id DESC"))
+def compact_idempotent(s, d):
+    return lifecycle.compacted(lifecycle.compacted(_versions(s, d))).select(*_KEPT)
+
+
+@query(_VERSIONS + "SELECT status, count(*) AS n FROM v GROUP BY status")
+def wal_union_visible(s, d):
+    return _versions(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH + "SELECT tenant_id, trace_id, min(start_time_ms) AS first_start, max(end_time_ms) AS last_end, count(*) AS n_spans, count(*) FILTER (status = 'error') AS n_errors FROM spans GROUP BY ALL")
+def trace_locality_bounds(s, d):
+    return lifecycle.trace_bounds(spans(s, d))
+
+
+@query(WITH + "SELECT model AS unit, count(*) AS n_rows, min(start_time_ms) AS min_start_time_ms, max(start_time_ms) AS max_start_time_ms, 0 AS nulls_start_time_ms, min(trace_id) AS min_trace_id, max(trace_id) AS max_trace_id, 0 AS nulls_trace_id FROM spans GROUP BY model")
+def zone_map_stats(s, d):
+    return lifecycle.zone_map(spans(s, d), ["start_time_ms", "trace_id"], F.col("model"))
+
+
+@query(WITH + "SELECT tenant_id, partition_id, span_id, 5000 + row_number() OVER (PARTITION BY tenant_id, partition_id ORDER BY trace_id, start_time_ms, span_id) - 1 AS commit_id FROM spans")
+def commit_allocation(s, d):
+    return lifecycle.with_commits(spans(s, d), 5000).select("tenant_id", "partition_id", "span_id", "commit_id")
+
+
+@query(PARENT + "SELECT tenant_id, parent_span_id AS span_id, count(*) AS n_children, sum(duration_ms)::bigint AS children_ms FROM tree WHERE parent_span_id IS NOT NULL GROUP BY ALL")
+def trace_tree_children(s, d):
+    return lifecycle.children(with_parent(spans(s, d)))
+
+
+# -- tenancy and the dialect -----------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT count(*) AS n, max(tenant_id) AS most FROM spans WHERE tenant_id = 2")
+def tenant_isolation_count(s, d):
+    return Engine(spans(s, d)).sql("SELECT count(*) AS n, max(tenant_id) AS most FROM spans", 2)
+
+
+@query(WITH + "SELECT span_id, duration_ms FROM spans WHERE tenant_id = 1 AND json_extract_string(metadata, '$.k') = '69' AND status = 'ok'")
+def dialect_jsonpath(s, d):
+    return Engine(spans(s, d)).sql("SELECT span_id, duration_ms FROM spans WHERE metadata.k = '69' AND status = 'ok'", 1)
+
+
+@query(WITH + "SELECT model, count(*) AS n, list_sort(list(duration_ms))[least(floor(count(*) * 0.95::double), count(*) - 1)::int + 1] AS p95 FROM spans WHERE tenant_id = 1 GROUP BY model ORDER BY model")
+def dialect_percentile(s, d):
+    return Engine(spans(s, d)).sql("SELECT model, count(*) AS n, percentile(duration_ms, 0.95) AS p95 FROM spans GROUP BY model ORDER BY model", 1)
+
+
+@query(WITH + "SELECT span_id FROM spans WHERE tenant_id = 3 AND regexp_matches(lower(span_type), '(^|[^\\p{L}\\p{N}])(click|view)($|[^\\p{L}\\p{N}])') AND start_time_ms >= 1704070000000")
+def dialect_text_match(s, d):
+    return Engine(spans(s, d)).sql("SELECT span_id FROM spans WHERE text_match(span_type, 'click view') AND start_time_ms >= 1704070000000", 3)
+
+
+# -- ingest ----------------------------------------------------------------------------------------------------
+
+
+@query(WITH + "SELECT span_id AS request_id, tenant_id, 0 AS partition_id, start_time_ms, end_time_ms, greatest(end_time_ms - start_time_ms, 0) AS duration_ms, model, 26 AS id_length FROM spans")
+def ingest_defaults(s, d):
+    one = F.struct("start_time_ms", "end_time_ms", "model", F.col("span_id").alias("request_id"))
+    requests = spans(s, d).groupBy("tenant_id", "trace_id").agg(F.collect_list(one).alias("spans")).select(F.to_json(F.struct("tenant_id", "spans")).alias("body"))
+    return ingest.ingest_json(requests).select("request_id", "tenant_id", "partition_id", "start_time_ms", "end_time_ms", "duration_ms", "model", F.length("span_id").alias("id_length"))
+
+
+def _otlp(s: SparkSession, d: str) -> DataFrame:
+    value = lambda **v: F.struct(*[c.alias(k) for k, c in v.items()])
+    attributes = F.array(
+        F.struct(F.lit("gen_ai.response.model").alias("key"), F.struct(F.col("model").alias("stringValue"), F.lit(None).cast("string").alias("intValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value")),
+        F.struct(F.lit("gen_ai.usage.input_tokens").alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), F.col("duration_ms").cast("string").alias("intValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value")),
+        F.struct(F.lit("gen_ai.request.temperature").alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), F.lit(None).cast("string").alias("intValue"), F.lit(0.5).alias("doubleValue")).alias("value")),
+        F.struct(F.lit("request.id").alias("key"), F.struct(F.col("span_id").alias("stringValue"), F.lit(None).cast("string").alias("intValue"), F.lit(None).cast("double").alias("doubleValue")).alias("value")),
+    )
+    nanos = lambda c: F.concat(F.col(c).cast("string"), F.lit("999999"))
+    one = F.struct(
+        F.substring(F.sha2("trace_id", 256), 1, 32).alias("traceId"), F.substring(F.sha2("span_id", 256), 1, 16).alias("spanId"), F.lit("").alias("parentSpanId"), F.col("span_type").alias("name"), nanos("start_time_ms").alias("startTimeUnixNano"), nanos("end_time_ms").alias("endTimeUnixNano"),
+        value(code=F.when(F.col("status") == "error", 2).otherwise(1)).alias("status"), attributes.alias("attributes"),
+    )
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit("svc").alias("stringValue")).alias("value"))).alias("attributes"))
+    grouped = spans(s, d).groupBy("trace_id").agg(F.collect_list(one).alias("spans"))
+    return grouped.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))
+
+
+@query(WITH + "SELECT span_id AS request_id, start_time_ms, end_time_ms, duration_ms, 'llm_call' AS span_type, status, 'svc' AS provider, model, duration_ms AS prompt_tokens, 0.5::double AS temperature, span_type AS span_name FROM spans")
+def otlp_normalise(s, d):
+    out = ingest.ingest_otlp(_otlp(s, d), 9)
+    return out.select("request_id", "start_time_ms", "end_time_ms", "duration_ms", "span_type", "status", "provider", "model", "prompt_tokens", "temperature", F.get_json_object("metadata", "$.otel_span_name").alias("span_name"))
+
+
+# -- windows and streams ---------------------------------------------------------------------------------------
+
+_TIME = "make_timestamp(start_time_ms * 1000)"
+
+
+@query(WITH + f"SELECT epoch_us(time_bucket(INTERVAL 1 hour, {_TIME})) AS start_us, tenant_id, count(*) AS n, count(*) FILTER (status = 'error') AS errors, round(avg(duration_ms), 6) AS mean_ms FROM spans GROUP BY 1, 2")
+def tumbling_window(s, d):
+    w = streams.windowed(spans(s, d), "1 hour")
+    return w.select(F.unix_micros("start").alias("start_us"), "tenant_id", "n", "errors", F.round("mean_ms", 6).alias("mean_ms"))
+
+
+@query(
+    WITH + f"SELECT epoch_us(b - k * INTERVAL 30 minute) AS start_us, tenant_id, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 30 minute, {_TIME}) AS b FROM spans), (VALUES (0), (1)) AS o(k) GROUP BY 1, 2"
+)
+def sliding_window(s, d):
+    return streams.windowed(spans(s, d), "1 hour", "30 minutes").select(F.unix_micros("start").alias("start_us"), "tenant_id", "n")
+
+
+@query(
+    WITH + ", g AS (SELECT *, CASE WHEN start_time_ms - lag(start_time_ms) OVER w < 600000 THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY tenant_id, trace_id ORDER BY start_time_ms, span_id)), "
+    "h AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant_id, trace_id ORDER BY start_time_ms, span_id) AS session FROM g) "
+    "SELECT tenant_id, trace_id, min(start_time_ms) AS first_ms, count(*) AS n FROM h GROUP BY tenant_id, trace_id, session"
+)
+def session_window(s, d):
+    return streams.sessions(spans(s, d), "10 minutes").select("tenant_id", "trace_id", F.unix_millis("start").alias("first_ms"), "n")
+
+
+@query(WITH + "SELECT span_id, trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY cost_usd DESC, span_id) AS place FROM spans QUALIFY place <= 3")
+def rank_window(s, d):
+    order = Window.partitionBy("trace_id").orderBy(F.desc("cost_usd"), "span_id")
+    return spans(s, d).select("span_id", "trace_id", F.row_number().over(order).alias("place")).filter("place <= 3")
+
+
+@query(WITH + "SELECT span_id, sum(duration_ms) OVER (PARTITION BY trace_id ORDER BY start_time_ms, span_id ROWS UNBOUNDED PRECEDING)::bigint AS running_ms FROM spans")
+def running_sum(s, d):
+    order = Window.partitionBy("trace_id").orderBy("start_time_ms", "span_id").rowsBetween(Window.unboundedPreceding, 0)
+    return spans(s, d).select("span_id", F.sum("duration_ms").over(order).alias("running_ms"))
+
+
+@query(WITH + "SELECT a.span_id, (SELECT max(b.start_time_ms) FROM spans b WHERE b.trace_id = a.trace_id AND b.status = 'error' AND b.start_time_ms <= a.start_time_ms) AS last_error_ms FROM spans a WHERE a.status = 'ok'")
+def asof_join(s, d):
+    """The last error of the trace at or before each span, by one pass over the trace in place of a range join."""
+    order = Window.partitionBy("trace_id").orderBy("start_time_ms").rangeBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("status") == "error", F.col("start_time_ms"))).over(order)
+    return spans(s, d).withColumn("last_error_ms", last).filter("status = 'ok'").select("span_id", "last_error_ms")
+
+
+@query(WITH + "SELECT trace_id FROM spans WHERE status = 'error' INTERSECT SELECT trace_id FROM spans WHERE model = 'm1'")
+def set_intersect(s, d):
+    own = spans(s, d)
+    return own.filter("status = 'error'").select("trace_id").intersect(own.filter("model = 'm1'").select("trace_id"))
+
+
+@query(WITH + "SELECT DISTINCT trace_id FROM spans WHERE trace_id NOT IN (SELECT trace_id FROM spans WHERE duration_ms > 900)")
+def anti_join(s, d):
+    own = spans(s, d)
+    return own.join(own.filter("duration_ms > 900").select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id").distinct()
+
+
+def _store(s: SparkSession) -> SpanStore:
+    """A store of its own in the folder that all executors share."""
+    import tempfile
+    import uuid
+
+    found = s.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        s.conf.set("spark.checkpoint.dir", found)
+    return SpanStore(s, f"{found.rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+@query(_LATEST.format("commit_id DESC"))
+def store_compaction(s, d):
+    """Two appended batches, one compaction, one batch after it, and the latest of all."""
+    store = _store(s)
+    own = spans(s, d)
+    store.append(ingest.conformed(own))
+    store.append(ingest.conformed(own.filter("status = 'error'")))
+    store.compact()
+    store.append(ingest.conformed(_versions(s, d).filter("status = 'retried'")))
+    return store.spans().select(*_KEPT)
+
+
+@query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model")
+def stream_append(s, d):
+    """A stream of the event files into a store, read back."""
+    store = _store(s)
+    raw = streams.stream(s, f"{d}/events.parquet*", table(s, d, "events").schema)
+    streams.append_to(ingest.conformed(spans_of(raw)), store, f"{store.root}/checkpoint").awaitTermination()
+    return store.raw().groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- star schema -----------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL"
+)
+def tpch_q1(s, d):
+    price = F.col("l_extendedprice")
+    kept = table(s, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
+    return kept.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_base_price"), F.round(F.sum(price * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.049 AND 0.071 AND l_quantity < 24")
+def tpch_q6(s, d):
+    kept = table(s, d, "lineitem").filter("l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.049D AND 0.071D AND l_quantity < 24")
+    return kept.agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
+
+
+@query(
+    "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND c_mktsegment = 'BUILDING' AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15' GROUP BY l_orderkey"
+)
+def tpch_q3(s, d):
+    c = table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    o = table(s, d, "orders").filter("o_orderdate < DATE '1995-03-15'").select("o_orderkey", "o_custkey")
+    li = table(s, d, "lineitem").filter("l_shipdate > DATE '1995-03-15'").select("l_orderkey", "l_extendedprice", "l_discount")
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return joined.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
