@@ -23,6 +23,8 @@ PERIOD = 10_000
 BLOCK = 4
 #: Share of a source's documents that counts towards its weight, as a power: 1 keeps natural weights, 0 makes sources equal.
 ALPHA = 0.7
+#: Slots of a period that are sent to every task, some 4 MB; longer periods are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -76,7 +78,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     of doc_id, then by doc_id and text, so blocks are random samples that any run repeats.
 
     ``weights``: by source; None takes each count to the power ALPHA. Sources with a weight of 0 or without one are left out; a weighted source without
-    documents is left out too and the rest share its part. A null source is the source "". Rows that repeat are documents of their own. Null doc_ids and texts sort first. An empty table
+    documents is left out too and the rest share its part. ``period`` is raised to ten slots a source where it is less. A null source is the source "". Rows that repeat are documents of their own. Null doc_ids and texts sort first. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -86,6 +88,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     weights = {k: w for k, w in weights.items() if w > 0 and counts.get(k)}
     if not weights:
         return docs.limit(0).withColumn(slot, F.lit(None).cast("long"))
+    # ten slots a source at least, so that any number of sources fits
+    period = max(period, 10 * len(weights))
     slots = quantised(weights, period)
     plan = schedule(slots)
     place = {(k, i): t for k, i, t in plan}
@@ -100,23 +104,24 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     for k, _, t in plan:
         by_source.setdefault(k, []).append(t)
     table = spark.createDataFrame([(k, len(v), v) for k, v in by_source.items()], "source string, own int, slots array<int>")
-    joined = numbered(docs, block).join(F.broadcast(table), "source")
+    joined = numbered(docs, block, max(counts.values())).join(F.broadcast(table) if period <= MOST_BROADCAST else table, "source")
     at = F.col("block")
     placed = joined.select("d", (F.floor(at / F.col("own")) * F.lit(period) + F.element_at("slots", (at % F.col("own") + 1).cast("int"))).cast("long").alias("slot"))
     return placed.filter(F.col("slot") < end).select("d.*", F.col("slot").alias(slot))
 
 
-#: Ranges of the hash into which a source is cut, so that no task sorts a whole hot source.
-RANGES_BITS = 10
+#: Rows of the largest source that fall into a range of the hash. Ranges are as many as that takes, so a task's sort stays as small however hot a source is.
+RANGE_ROWS = 4_096
 
 
-def numbered(docs: DataFrame, block: int) -> DataFrame:
-    """(d, source, block): each row as a struct, with its source and its place by hash within the source over ``block``.
+def numbered(docs: DataFrame, block: int, most: int) -> DataFrame:
+    """(d, source, block): each row as a struct, with its source and its place by hash within the source over ``block``. ``most``: rows of the largest source.
 
-    A row's place is the count of all ranges of the hash before its own, plus its place within the range.
+    A row's place is the count of all ranges of the hash before its own, plus its place within the range. The order doesn't depend on the number of ranges.
     """
+    bits = min(max((most // RANGE_ROWS).bit_length(), 1), 30)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id").alias("hash"))
-    rows = rows.withColumn("range", F.shiftrightunsigned("hash", 64 - RANGES_BITS).cast("int"))
+    rows = rows.withColumn("range", F.shiftrightunsigned("hash", 64 - bits).cast("int"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("source", "range").count().select("source", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inner = Window.partitionBy("source", "range").orderBy("hash", "d.doc_id", "d.text")

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import wordbytes as W
 from .shared import free_name, gathered, lowered, remove, stored, text_buffer, tune
 
-N, THRESHOLD, RECALL = 3, 0.6, 0.95
-MOST_PERMUTATIONS = 128
+N, THRESHOLD, RECALL = 3, 0.5, 0.95
+MOST_PERMUTATIONS = 192
 SLICE = 2 << 20
 
 EDGE = "doc_id long, partner_id long, jaccard double"
@@ -204,7 +204,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     )
     # sets of sizes a <= b have a similarity of at most a / b
     near = buckets.filter("doc_id > pivot").filter(F.least("grams", "pivot_grams") >= F.greatest("grams", "pivot_grams") * F.lit(threshold - 1e-6)).groupBy("doc_id", "pivot").agg(F.count("*").alias("shared"))
-    best = near.groupBy("doc_id").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
+    best = near.groupBy("doc_id").agg(F.max_by("pivot", F.struct("shared", F.bitwise_not("pivot"))).alias("pivot"))
     first = stored(best.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "pairs")
     links = stored(verified(first, texts, n, threshold).unionByName(copies), "links")
     remove(spark, first.stored_at)
@@ -231,7 +231,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     merged = components(joins.select(tree("a_root").alias("a"), tree("b_root").alias("b")))
     edges = links.unionByName(found)
     ends = edges.unionByName(edges.select(F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), "jaccard"))
-    rows_ = ends.groupBy("doc_id").agg(F.max_by(F.struct("partner_id", "jaccard"), F.struct("jaccard", -F.col("partner_id"))).alias("p")).select("doc_id", "p.partner_id", "p.jaccard")
+    rows_ = ends.groupBy("doc_id").agg(F.max_by(F.struct("partner_id", "jaccard"), F.struct("jaccard", F.bitwise_not("partner_id"))).alias("p")).select("doc_id", "p.partner_id", "p.jaccard")
     grouped = rows_.join(root, "doc_id", "left").select("doc_id", "partner_id", "jaccard", F.coalesce("root", "doc_id").alias("root"))
     top = merged.select(F.col("doc_id").alias("root"), F.col("root").alias("top"))
     return grouped.join(top, "root", "left").select("doc_id", "partner_id", "jaccard", F.coalesce("top", "root").alias("group_id"))
@@ -243,9 +243,19 @@ def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     All columns stay. Of rows that repeat a doc_id one stays, the one of the least text. Rows without a doc_id, and texts without words, stay as they are.
     """
     groups = stored(ngram_join(docs, n, threshold, recall), "groups")
+    key = F.col("doc_id").cast("long").alias("doc_id")
     gone = groups.filter("doc_id > group_id").select("doc_id")
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    named = left.filter("doc_id is not null")
+    repeated = stored(docs.select(key).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"), "repeated")
+    many = repeated.count()
+    out = _joined(docs, gone.unionByName(repeated), groups.count() + many, "left_anti")
+    if not many:
+        return out
     turn = Window.partitionBy("doc_id").orderBy("text")
     c = free_name(docs, "turn")
-    return named.withColumn(c, F.row_number().over(turn)).filter(F.col(c) == 1).drop(c).unionByName(left.filter("doc_id is null"))
+    first = _joined(docs, repeated, many, "left_semi").withColumn(c, F.row_number().over(turn)).filter(F.col(c) == 1).drop(c)
+    return out.unionByName(first)
+
+
+def _joined(docs: DataFrame, ids: DataFrame, most: int, how: str) -> DataFrame:
+    """Semi or anti join by doc_id; up to FEW_IDS ids go to every task, so that texts aren't shuffled."""
+    return docs.join(F.broadcast(ids) if most <= FEW_IDS else ids, docs["doc_id"].cast("long") == ids["doc_id"], how)
