@@ -128,10 +128,12 @@ def coordinates(docs: DataFrame) -> DataFrame:
     low, high = (ends.a or 0, ends.b or 0)
     lengths = F.expr(f"array({','.join(map(str, LENGTHS))})")
     rows = rows.join(ranked(docs, "lang", "q0"), F.col("l").eqNullSafe(F.col("v"))).drop("v").join(ranked(docs, "source", "q1"), F.col("s").eqNullSafe(F.col("v"))).drop("v")
-    span = f"({high - low + 1})"
+    # wide enough for any two ids and 32 times their distance
+    wide = lambda v: f"cast({v} as decimal(20,0))"
+    low_, span = wide(f"'{low}'"), wide(f"'{high - low + 1}'")
     return rows.select(
         "d", "q0", "q1", F.size(F.filter(lengths, lambda t: t <= F.coalesce(F.col("n"), F.lit(0)))).alias("q2"),
-        F.expr(f"int((decimal(coalesce(i, {low})) - {low}) * {1 << BITS} div {span})").alias("q3"),
+        F.expr(f"int((coalesce({wide('i')}, {low_}) - {low_}) * {1 << BITS} div {span})").alias("q3"),
     )
 
 
