@@ -16,6 +16,8 @@ from .shared import free_name, stored
 
 BITS = 5
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
+#: Distinct values of a dimension, some 10 MB, up to which their ranks are broadcast.
+FEW_VALUES = 250_000
 #: Documents of a shard.
 SHARD_ROWS = 2_000
 
@@ -127,7 +129,10 @@ def coordinates(docs: DataFrame) -> DataFrame:
     ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("b")).first()
     low, high = (ends.a or 0, ends.b or 0)
     lengths = F.expr(f"array({','.join(map(str, LENGTHS))})")
-    rows = rows.join(ranked(docs, "lang", "q0"), F.col("l").eqNullSafe(F.col("v"))).drop("v").join(ranked(docs, "source", "q1"), F.col("s").eqNullSafe(F.col("v"))).drop("v")
+    for column, out in (("l", "q0"), ("s", "q1")):
+        ranks = stored(ranked(docs, {"l": "lang", "s": "source"}[column], out), "ranks")
+        # few values go to every task; a shuffle would send all rows of a hot value to one
+        rows = rows.join(F.broadcast(ranks) if ranks.count() <= FEW_VALUES else ranks, F.col(column).eqNullSafe(F.col("v"))).drop("v")
     # wide enough for any two ids and 32 times their distance
     wide = lambda v: f"cast({v} as decimal(20,0))"
     low_, span = wide(f"'{low}'"), wide(f"'{high - low + 1}'")
