@@ -15,8 +15,8 @@ from ..functions.text import parse, pattern
 from ..operators.aggregates import MOST_ROWS
 
 _STRING = re.compile(r"'(?:[^']|'')*'")
-_PATH = re.compile(r"\bmetadata\.((?:\w+\.)*\w+)\s*(=|<>|!=)\s*('(?:[^']|'')*')")
-_MATCH = re.compile(r"\btext_match\s*\(\s*(\w+)\s*,\s*('(?:[^']|'')*')\s*\)", re.I)
+_PATH = re.compile(r"\bmetadata\.((?:\w+\.)*\w+)\s*(=|<>|!=)\s*\0(\d+)\0")
+_MATCH = re.compile(r"\btext_match\s*\(\s*(\w+)\s*,\s*\0(\d+)\0\s*\)", re.I)
 _PERCENTILE = re.compile(r"\bpercentile\s*\(\s*(\w+)\s*,\s*([0-9.]+)\s*\)", re.I)
 _LIMIT = re.compile(r"\blimit\s+(\d+)\s*$", re.I)
 _STRICT = re.compile(r"\b(join|having|distinct|offset|with|union|intersect|except|over)\b", re.I)
@@ -64,21 +64,26 @@ def rewritten(query: str, strict: bool = False) -> str:
         raise DialectError(f"nested deeper than {DEPTH}")
     if strict and (m := _STRICT.search(bare)):
         raise DialectError(f"{m[0].upper()} isn't in the dialect")
-    text = lambda s: s[1:-1].replace("''", "'")
+    # strings are set aside first, so that nothing in them is taken for SQL
     held: list[str] = []
+    texts: list[str] = []
 
-    def hold(sql: str) -> str:
+    def hold(sql: str, value: str = "") -> str:
         held.append(sql)
+        texts.append(value)
         return f"\0{len(held) - 1}\0"
 
+    def string(m: re.Match) -> str:
+        value = m[0][1:-1].replace("''", "'")
+        return hold(_quote(value), value)
+
     def path(m: re.Match) -> str:
-        plain = f"coalesce(get_json_object(metadata, {_quote('$.' + m[1])}) = {_quote(text(m[3]))}, false)"
+        plain = f"coalesce(get_json_object(metadata, {_quote('$.' + m[1])}) = {held[int(m[3])]}, false)"
         return hold(plain if m[2] == "=" else f"(NOT {plain})")
 
-    out = _MATCH.sub(lambda m: hold(_match_sql(m[1], text(m[2]))), query)
+    out = _STRING.sub(string, query.replace("\0", ""))
+    out = _MATCH.sub(lambda m: hold(_match_sql(m[1], texts[int(m[2])])), out)
     out = _PATH.sub(path, out)
-    # what is left of strings is set aside, so that nothing in them is taken for SQL
-    out = _STRING.sub(lambda m: hold(_quote(text(m[0]))), out)
 
     def rank(m: re.Match) -> str:
         c, q = m[1], float(m[2])
