@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,12 @@ def hex_to_ulid(hexadecimal: Column | str) -> Column:
     padded = F.lpad(F.regexp_replace(F.lower(_c(hexadecimal)), "[^0-9a-f]", "0"), 32, "0")
     # 128 bits with 2 zero bits in front are 26 digits of 5 bits
     bits = F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(padded, i, 8), 16, 2), 32, "0") for i in (1, 9, 17, 25)])
-    digits = [F.substring(F.lit(CROCKFORD), (F.conv(F.substring(bits, i * 5 + 1, 5), 2, 10).cast("int") + 1), F.lit(1)) for i in range(26)]
-    return F.concat(*digits)
+    return _once(bits, lambda b: F.concat(*[F.substring(F.lit(CROCKFORD), (F.conv(F.substring(b, i * 5 + 1, 5), 2, 10).cast("int") + 1), F.lit(1)) for i in range(26)]))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is named many times in it but evaluated once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def ulid_to_hex(ulid: Column | str) -> Column:
