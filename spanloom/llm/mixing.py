@@ -6,11 +6,15 @@ deadline, so after any number t of slots a source has had more than t * w - 1 an
 
 Weights are multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots. Only one period is simulated, on the driver, at a
 cost that doesn't depend on the documents; a block's slot then follows from its number by arithmetic.
+
+At the first slot whose source has nothing left, a new phase starts: the sources that still have blocks are scheduled anew, their
+weights renormalised, until all documents have a slot. There are at most as many phases as sources; one period is simulated for each.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +27,7 @@ PERIOD = 10_000
 BLOCK = 4
 #: Share of a source's documents that counts towards its weight, as a power: 1 keeps natural weights, 0 makes sources equal.
 ALPHA = 0.7
-#: Slots of a period that are sent to every task, some 4 MB; longer periods are joined by a shuffle.
+#: Slots of all phases that are sent to every task, some 4 MB; longer periods are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
@@ -48,20 +52,50 @@ def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]
 
 def schedule(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """One period: (source, block of the source in the period from 0, slot), by earliest deadline first (ties: by name)."""
+    return list(scheduled(slots))
+
+
+def scheduled(slots: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """``schedule``, slot by slot."""
     period = sum(slots.values())
     waiting = [(0, k, 0) for k in sorted(slots)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
     for t in range(period):
         while waiting and waiting[0][0] <= t:
             _, k, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * period // slots[k]), k, i))
         _, k, i = heapq.heappop(ready)
-        out.append((k, i, t))
+        yield k, i, t
         if i + 1 < slots[k]:
             heapq.heappush(waiting, ((i + 1) * period // slots[k], k, i + 1))
-    return out
+
+
+def phase(blocks: dict[str, int], weights: dict[str, float], period: int) -> tuple[int, dict[str, tuple[int, int, list[int]]]]:
+    """The schedule up to the first slot whose source has no block left: its slots, and of each source the blocks taken, the slots it owns of a period and where these are."""
+    slots = quantised({k: weights[k] for k in blocks}, period)
+    at: dict[str, list[int]] = {k: [] for k in slots}
+    for k, i, t in scheduled(slots):
+        if i == blocks[k]:
+            # within the first period
+            return t, {k: (len(v), slots[k], v) for k, v in at.items()}
+        at[k].append(t)
+    end = min(n // slots[k] * period + at[k][n % slots[k]] for k, n in blocks.items())
+    full, rest = divmod(end, period)
+    return end, {k: (full * slots[k] + sum(t < rest for t in v), slots[k], v) for k, v in at.items()}
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> Iterator[tuple[int, dict[str, tuple[int, int, int, list[int]]]]]:
+    """(first slot, {source: (first block, blocks, own, slots)}) of each phase, until no source has a block left."""
+    start, had, left = 0, dict.fromkeys(blocks, 0), {k: n for k, n in blocks.items() if n}
+    while left:
+        end, taken = phase(left, weights, period)
+        yield start, {k: (had[k], *v) for k, v in taken.items() if v[0]}
+        start += end
+        for k, (n, _, _) in taken.items():
+            had[k] += n
+            left[k] -= n
+        left = {k: n for k, n in left.items() if n}
 
 
 def source_counts(docs: DataFrame) -> dict[str, int]:
@@ -70,11 +104,12 @@ def source_counts(docs: DataFrame) -> dict[str, int]:
     return {r["s"]: r["count"] for r in counts.toLocalIterator()}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """The mixture: ``docs`` in the schedule, up to the slot at which a source first lacks the full block that is due.
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, whole: bool = False) -> DataFrame:
+    """The mixture: ``docs`` in the schedule, all of them if ``whole``, else up to the slot at which a source first lacks the full block that is due.
 
     All columns stay and ``slot`` is added (with underscores in front where the name is taken): the place of the document's block in
-    the mixture. Every prefix of whole slots is within one block of the target weights. Within a source, documents come in the order of a hash
+    the mixture. Every prefix of whole slots is within one block of the target weights; if ``whole``, that holds within each phase, from its
+    start, for the weights of the sources that still have documents, and the last block of a source may be a partial one. Within a source, documents come in the order of a hash
     of doc_id, then by doc_id and text, so blocks are random samples that any run repeats.
 
     ``weights``: by source; None takes each count to the power ALPHA. Sources with a weight of 0 or without one are left out; a weighted source without
@@ -90,24 +125,19 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
         return docs.limit(0).withColumn(slot, F.lit(None).cast("long"))
     # ten slots a source at least, so that any number of sources fits
     period = max(period, 10 * len(weights))
-    slots = quantised(weights, period)
-    plan = schedule(slots)
-    place = {(k, i): t for k, i, t in plan}
-    # the first slot that a source can't fill ends the mixture
-    ends = []
-    for k, own in slots.items():
-        full = counts[k] // block
-        ends.append(full // own * period + place[k, full % own])
-    end = min(ends)
-    # one period of slots by source, a table of a fixed size
-    by_source: dict[str, list[int]] = {}
-    for k, _, t in plan:
-        by_source.setdefault(k, []).append(t)
-    table = spark.createDataFrame([(k, len(v), v) for k, v in by_source.items()], "source string, own int, slots array<int>")
-    joined = numbered(docs, block, max(counts.values())).join(F.broadcast(table) if period <= MOST_BROADCAST else table, "source")
-    at = F.col("block")
-    placed = joined.select("d", (F.floor(at / F.col("own")) * F.lit(period) + F.element_at("slots", (at % F.col("own") + 1).cast("int"))).cast("long").alias("slot"))
-    return placed.filter(F.col("slot") < end).select("d.*", F.col("slot").alias(slot))
+    if whole:
+        found = list(phases({k: -(-counts[k] // block) for k in weights}, weights, period))
+    else:
+        found = [(0, {k: (0, *v) for k, v in phase({k: counts[k] // block for k in weights}, weights, period)[1].items()})]
+    # of each phase and source at most one period of slots
+    rows = [(k, start, first, n, own, at) for start, taken in found for k, (first, n, own, at) in taken.items()]
+    table = spark.createDataFrame(rows, "source string, start long, first long, blocks long, own int, slots array<int>")
+    simulated = sum(len(r[-1]) for r in rows)
+    joined = numbered(docs, block, max(counts.values())).join(F.broadcast(table) if simulated <= MOST_BROADCAST else table, "source")
+    at = F.col("block") - F.col("first")
+    placed = joined.filter((at >= 0) & (at < F.col("blocks")))
+    placed = placed.select("d", (F.col("start") + F.floor(at / F.col("own")) * F.lit(period) + F.element_at("slots", (at % F.col("own") + 1).cast("int"))).cast("long").alias("slot"))
+    return placed.select("d.*", F.col("slot").alias(slot))
 
 
 #: Rows of the largest source that fall into a range of the hash. Ranges are as many as that takes, so a task's sort stays as small however hot a source is.

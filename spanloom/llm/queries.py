@@ -50,7 +50,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    """All documents in the schedule."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), whole=True)
 
 
 QUERIES = {

@@ -78,3 +78,44 @@ def test_empty_table_clashing_names_and_absent_sources(spark, documents):
     got = M.mixed(df, {"s0": 1, "s1": 1, "gone": 5}, block=1)
     assert got.columns == [*df.columns, "_slot"] and got.count() == 40
     assert M.mixed(df, {"gone": 1}).count() == 0
+
+
+def check_whole(counts, got, block, period):
+    """Every document has a slot, and each prefix of a phase is within a block of the renormalised weights of the sources that have documents left."""
+    assert sum(counts.values()) == len(got) == len({r.doc_id for r in got})
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r.slot, []).append(r.source)
+    assert sorted(by_slot) == list(range(sum(-(-n // block) for n in counts.values())))
+    left = {s: -(-n // block) for s, n in counts.items()}
+    t = 0
+    while left:
+        slots = M.quantised({s: counts[s] ** M.ALPHA for s in left}, period)
+        plan, had, start = M.schedule(slots), dict.fromkeys(left, 0), t
+        while left[k := plan[(t - start) % period][0]] > had[k]:
+            had[k] += 1
+            size = block if had[k] < left[k] or counts[k] % block == 0 else counts[k] % block
+            assert by_slot[t] == [k] * size
+            t += 1
+            assert all(abs(n - Fraction((t - start) * slots[s], period)) < 1 for s, n in had.items())
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+    assert t == len(by_slot)
+
+
+@pytest.mark.parametrize("counts", [{"hot": 20_003, "tiny": 3}, {"a": 400, "b": 400, "c": 3, "d": 77, None: 1}])
+def test_a_tiny_source_cuts_nothing(documents, counts):
+    rows = [(i, "t", "en", s, 1) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    assert M.mixed(documents(rows)).count() < len(rows)
+    got = [r.asDict() for r in M.mixed(documents(rows), whole=True).collect()]
+    named = [type("R", (), {**r, "source": r["source"] or ""}) for r in got]
+    check_whole({s or "": n for s, n in counts.items()}, named, M.BLOCK, M.PERIOD)
+
+
+def test_the_registered_query_and_stage_keep_all(spark, documents, tmp_path):
+    import corpus_pipeline
+    from spanloom.llm import queries
+
+    docs = documents([(i, "t", "en", "hot" if i else "one", 1) for i in range(900)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in queries.op10_source_mixing(spark, str(tmp_path)).collect()) == list(range(900))
+    assert sorted(r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()) == list(range(900))
