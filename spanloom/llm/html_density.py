@@ -2,7 +2,11 @@
 
 A page is parsed into a tree. Each node gets a density: its characters per tag, damped where much of its text or many of its tags are
 links. A node's sum is the sum of its children's densities, so the block that holds the article has the largest. The least density on
-the path from that node to the body is the threshold; from the body down, each branch that reaches the threshold gives its subtree of the largest sum.
+the path from that node to the body is the threshold. From the body down, each node that reaches the threshold gives the subtree of the
+largest sum below it, and its other children are looked at likewise; what lies inside a subtree that is given already, or below a node
+under the threshold, gives nothing more. Short texts without links, such as a line of advertising, reach the body's density too: so a
+subtree's sum must also reach the least density on the path below the body, and a text that has no dense children must itself be as dense
+as the children of the largest subtree are on average.
 """
 
 from __future__ import annotations
@@ -146,30 +150,41 @@ def density(node: Node, ratio: float) -> float:
     return max(node.chars / tags * math.log(max(inside, 1.0)) / max(math.log(base), LEAST_LOG), 0.0)
 
 
-def best_of(node: Node) -> Node:
-    """The node of the largest sum under ``node``, itself included; the first of equals."""
-    best = node
-    for x in in_order(node):
-        if x.sum > best.sum:
-            best = x
-    return best
+def bests(nodes: list[Node]) -> dict[Node, Node]:
+    """Of each of ``nodes`` (parents first) the visible node of the largest sum under it, itself included; the first of equals."""
+    out: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        best = node
+        for c in node.children:
+            if c.tag not in HIDDEN and out[c].sum > best.sum:
+                best = out[c]
+        out[node] = best
+    return out
 
 
-def chosen(body: Node) -> tuple[list[Node], float]:
-    """The subtrees to extract, and the threshold."""
-    top = best_of(body)
-    threshold, up = top.density, top
+def chosen(body: Node) -> tuple[list[Node], Node, float]:
+    """The subtrees to extract, in the order of the page and without overlaps, the one of the largest sum, and the threshold."""
+    nodes = in_order(body)
+    best = bests(nodes)
+    top = best[body]
+    # floor: the threshold without the body
+    threshold, floor, up = top.density, top.density, top
     while up is not body and up.parent is not None:
-        up = up.parent
+        floor, up = threshold, up.parent
         threshold = min(threshold, up.density)
-    out, todo = [], [body]
+    dense = sum(c.density > 0 for c in top.children)
+    usual = max(floor, top.sum / dense) if dense else floor
+    # a subtree is marked before the walk comes to it, and the walk doesn't enter it
+    marked, todo = set(), [body]
     while todo:
         node = todo.pop()
-        if node.chars and node.density >= threshold - 1e-9:
-            out.append(best_of(node))
-        else:
-            todo.extend(reversed(node.children))
-    return out, threshold
+        if node not in marked and node.chars and node.density >= threshold - 1e-9:
+            found = best[node]
+            if found is top or (found.sum >= floor - 1e-9 if found.sum else found.density >= usual - 1e-9):
+                marked.add(found)
+            if node not in marked:
+                todo.extend(reversed(node.children))
+    return [x for x in nodes if x in marked], top, threshold
 
 
 def text_of(node: Node) -> str:
@@ -201,14 +216,14 @@ def path_of(node: Node) -> str:
 
 
 def extract(page: str | None) -> tuple[str, str, float, float]:
-    """(text, path of the first subtree, its sum, threshold) of a page."""
+    """(text of all subtrees, path of the one of the largest sum, its sum, threshold) of a page."""
     if not page:
         return "", "", 0.0, 0.0
     body = measure(parse(page))
     if not body.chars:
         return "", "", 0.0, 0.0
-    nodes, threshold = chosen(body)
-    return "\n".join(t for t in map(text_of, nodes) if t), path_of(nodes[0]), nodes[0].sum, threshold
+    nodes, top, threshold = chosen(body)
+    return "\n".join(t for t in map(text_of, nodes) if t), path_of(top), top.sum, threshold
 
 
 def extracted(pages: DataFrame) -> DataFrame:

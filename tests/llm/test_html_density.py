@@ -97,3 +97,15 @@ def test_odd_rows_empty_table_and_clashing_names(spark):
     assert got.columns == ["page_id", "url", "text", "threshold", "_text", "path", "density_sum", "_threshold"]
     assert sorted((r.page_id or 0, r._text) for r in got.collect()) == [(0, ""), (1, "x"), (1, "x"), (2, ""), (3, "")]
     assert H.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_every_article_container_is_found(prose):
+    paragraphs = [prose(400 + i, 60) for i in range(11)]
+    first, second = ("".join(f"<p>{t}</p>" for t in part) for part in (paragraphs[:6], paragraphs[6:]))
+    ad = "".join(f'<a href="/{i}">{prose(i, 3)}</a>' for i in range(8))
+    for inner in (second, f"<div><div>{second}</div></div>"):
+        text, path, best, _ = H.extract(f"<html><body><div>{first}</div><div class=ad>{ad}</div><div>{inner}</div></body></html>")
+        assert text == "\n".join(paragraphs) and path == "html/body/div" and best > 0
+    # in the order of the page, also where the largest comes last
+    text, path, _, _ = H.extract(f"<body><div>{second}</div><div class=ad>{ad}</div><section>{first}</section></body>")
+    assert text == "\n".join(paragraphs[6:] + paragraphs[:6]) and path == "body/section"
