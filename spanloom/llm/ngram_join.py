@@ -3,8 +3,11 @@
 Texts are lower-cased and cut into words; a document's set holds the hashes of its word n-grams.
 Two documents match where the Jaccard similarity of their sets is at least ``threshold``.
 
-The pairs of a group of near copies grow with its square (a group of 15,000 has 112 million),
-so the result is linear in the documents and exact all the same: every document that has a match is
+``ngram_pairs`` gives all matching pairs: every pair that shares a bucket is verified, and pairs of documents with equal word
+sequences follow from those of one of them.
+
+The pairs of a group of near copies grow with its square (a group of 15,000 has 112 million). Where only groups are
+wanted, ``ngram_join`` is linear in the documents: every document that has a match is
 linked to one verified partner, and groups are the components of all verified candidate pairs.
 
 1. ``sketch``: one pass over the texts gives a digest of the word sequence and the band hashes.
@@ -170,6 +173,54 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def sketched(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) in lower case, and the stored sketch; rows that repeat a doc_id are one."""
+    spark = docs.sparkSession
+    tune(spark)
+    bands, rows = choose_bands(threshold, recall)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered("text").alias("text")).filter("doc_id is not null")
+    sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
+    repeated = sketch.count() != sketch.select("doc_id").distinct().count()
+    if repeated:
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+        remove(spark, sketch.stored_at)
+        sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
+    return texts, sketch
+
+
+def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """All pairs of near copies: (doc_id, partner_id, jaccard), each pair once, doc_id < partner_id.
+
+    ``jaccard`` is exact, of the two n-gram sets, and at least ``threshold``. Pairs are missed with a probability of at most
+    1 - ``recall`` each, pairs of equal word sequences never. A group of k mutual copies has k(k-1)/2 rows; nothing is capped.
+
+    Nulls, short texts, repeated doc_ids and other columns: as in ``ngram_join``.
+    """
+    spark = docs.sparkSession
+    texts, sketch = sketched(docs, n, threshold, recall)
+    members = stored(sketch.select("doc_id", F.min("doc_id").over(Window.partitionBy("d1", "d2")).alias("original")), "members")
+    originals = sketch.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "grams", "bands"), "doc_id").alias("s")).select("s.*")
+    bucket = Window.partitionBy("bucket")
+    buckets = originals.select("doc_id", "grams", F.posexplode("bands").alias("band", "hash")).select("doc_id", "grams", F.xxhash64("band", "hash").alias("bucket"))
+    # near copies meet in the same company in many bands: buckets of equal members are one; members that only seem equal add candidates
+    buckets = buckets.withColumns({"company": F.bit_xor(F.xxhash64("doc_id")).over(bucket), "members": F.count("*").over(bucket)}).filter("members > 1")
+    buckets = stored(buckets.select("doc_id", "grams", "company", "members").distinct(), "buckets")
+    remove(spark, sketch.stored_at)
+    # sets of sizes a <= b have a similarity of at most a / b
+    fits = F.least("grams", "b_grams") >= F.greatest("grams", "b_grams") * F.lit(threshold - 1e-6)
+    other = buckets.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams"), "company", "members")
+    pairs = buckets.withColumnRenamed("doc_id", "a").join(other, ["company", "members"]).filter("a < b").filter(fits).select("a", "b").distinct()
+    pairs = stored(pairs, "pairs")
+    remove(spark, buckets.stored_at)
+    edges = stored(verified(pairs, texts, n, threshold), "links")
+    remove(spark, pairs.stored_at)
+    left, right = (members.select(F.col("original").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in "ab")
+    wide = edges.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b"), "jaccard").join(left, "a").join(right, "b")
+    alike = left.join(right, left["a"] == right["b"]).filter("a_id < b_id").withColumn("jaccard", F.lit(1.0))
+    found = wide.select("a_id", "b_id", "jaccard").unionByName(alike.select("a_id", "b_id", "jaccard"))
+    return found.select(F.least("a_id", "b_id").alias("doc_id"), F.greatest("a_id", "b_id").alias("partner_id"), "jaccard")
+
+
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Documents that have a near copy: (doc_id, partner_id, jaccard, group_id).
 
@@ -183,15 +234,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     table gives an empty result.
     """
     spark = docs.sparkSession
-    tune(spark)
-    bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered("text").alias("text")).filter("doc_id is not null")
-    sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
-    repeated = sketch.count() != sketch.select("doc_id").distinct().count()
-    if repeated:
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        remove(spark, sketch.stored_at)
-        sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
+    texts, sketch = sketched(docs, n, threshold, recall)
 
     same = Window.partitionBy("d1", "d2")
     copies = sketch.select("doc_id", F.min("doc_id").over(same).alias("partner_id")).filter("doc_id > partner_id").withColumn("jaccard", F.lit(1.0))

@@ -93,3 +93,21 @@ def test_chains_of_trees(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[101] == got[102] == got[200] == 100
     links = spark.createDataFrame([(i + 1, i, 1.0) for i in range(40)], "doc_id long, partner_id long, jaccard double")
     assert {r.root for r in J.roots(links).collect()} == {0}
+
+
+def test_the_registered_query_gives_all_pairs(spark, documents, prose, words, tmp_path):
+    from spanloom.llm import queries
+
+    base = prose(5, 200)
+    rows = [(i, edited(base, 0.03, i, words)) for i in range(40)] + [(100 + i, base) for i in range(12)]
+    rows += [(200 + k, edited(prose(6, 150), 0.06 * k, k, words)) for k in range(8)]  # a chain: its ends are unlike
+    rows += [(300 + i, prose(300 + i, 60)) for i in range(20)] + [(400, ""), (401, ""), (402, "one word"), (403, "One word!")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_ngram_join(spark, str(tmp_path)).collect()
+    pairs, _ = brute(rows)
+    found = {(r.doc_id, r.partner_id): r.jaccard for r in got}
+    assert len(found) == len(got) and set(found) <= set(pairs)
+    assert len(found) >= 0.95 * len(pairs) and all(abs(pairs[p] - j) < 1e-9 for p, j in found.items())
+    assert {p for p, j in pairs.items() if p[0] >= 100 and p[1] < 200} <= set(found) and (402, 403) in found
+    best = max(pairs, key=lambda p: (0 in p, pairs[p]))
+    assert best in found
