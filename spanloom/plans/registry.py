@@ -315,6 +315,19 @@ def knn_filtered(s, d):
     return vectors.nearest(table(s, d, "embeddings"), _vector(s, d), 10, where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+_EACH = "list_distance(a.embedding::double[], b.embedding::double[])"
+
+
+@query(
+    f"SELECT query, vec_id, round(distance, 6) AS distance, place FROM (SELECT a.vec_id AS query, b.vec_id AS vec_id, {_EACH} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_EACH}, b.vec_id) AS place "
+    f"FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_EACH} IS NOT NULL) WHERE place <= 10"
+)
+def knn_of_each(s, d):
+    """The 10 nearest other vectors of every vector."""
+    found = vectors.nearest_of_each(table(s, d, "embeddings"), table(s, d, "embeddings"), 10)
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), "place")
+
+
 @query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE {_DISTANCE} <= 1.2")
 def knn_radius(s, d):
     return vectors.within(table(s, d, "embeddings"), _vector(s, d), 1.2).select("vec_id", F.round("distance", 6).alias("distance"))
