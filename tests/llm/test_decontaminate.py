@@ -1,5 +1,13 @@
+import random
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from spanloom.llm import decontaminate as D
 from spanloom.llm.licenses import WORD
+from spanloom.llm.shared import text_buffer
 
 from tests.llm.conftest import DOCS
 
@@ -61,9 +69,9 @@ def test_several_passes_give_the_same(spark, documents, prose, monkeypatch):
 def test_odd_rows(spark, odd, prose):
     bench = spark.createDataFrame([(1, prose(1, 80)), (1, prose(1, 80)), (None, prose(1, 80)), (2, None), (3, ""), (4, "least of all"), (5, prose(99, 60_000)[1000:1200])], ITEMS)
     found = got(D.matches(odd, bench))
-    assert found[1, 1] == (80, 0, 0) and set(found) == {(1, 1), (5, 5)}
+    assert found[1, 1] == (80, 0, 0) and set(found) == {(1, 1), (5, 5), (-(2**63), 4)}
     kept = D.decontaminated(odd, bench)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 3
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 4
 
 
 def test_empty_tables(spark, odd):
@@ -84,3 +92,47 @@ def test_repeated_passages_and_equal_prefixes(spark, documents, prose):
     items = [(i, head + " " + prose(700 + i, 8)) for i in range(20)]
     docs = [(i, (head + " ") * 30 + prose(700 + i, 8)) for i in range(20)]
     assert got(D.matches(documents(docs).coalesce(1), spark.createDataFrame(items, ITEMS))) == brute(docs, items)
+
+
+def test_rows_are_judged_by_their_own_text(spark, documents, prose):
+    leak = prose(1, 30)
+    docs = documents([(None, leak), (7, leak), (7, prose(2, 30)), (None, prose(3, 30)), (8, None), (8, None)])
+    kept = D.decontaminated(docs, spark.createDataFrame([(None, leak)], ITEMS)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(7, prose(2, 30)), (0, prose(3, 30)), (8, ""), (8, "")])
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_few_words_in_many_places(seed):
+    rng = random.Random(seed)
+    some = "abcde"[: rng.randint(1, 5)]
+    docs = [(i, " ".join(rng.choice(some) for _ in range(rng.randint(0, 30)))) for i in range(rng.randint(1, 6))]
+    items = [(i, " ".join(rng.choice(some + "z") for _ in range(rng.randint(0, 12)))) for i in range(rng.randint(1, 5))]
+    match = rng.randint(1, 6)
+    shard = D.Shard(*text_buffer(pa.array([t for _, t in docs])), D.Benchmark([t for _, t in items], match, 1))
+    expected = brute(docs, items, match, 1)
+    assert {(d, i): (n, p, q) for d, i, n, p, q in zip(*(x.tolist() for x in shard.longest()), strict=True)} == expected
+    assert set(np.flatnonzero(shard.leaked()).tolist()) == {d for d, _ in expected}
+
+
+def test_the_array_is_sorted_to_the_ends():
+    texts = [" ".join("ab"[(i * i >> 3) % 2] for i in range(200))] * 3 + ["a " * 100]
+    shard = D.Shard(*text_buffer(pa.array(texts)), D.Benchmark(["a b"], 13, 1))
+    suffixes = [shard.number[p : shard.end[p]].tolist() for p in shard.array.tolist()]
+    assert suffixes == sorted(suffixes) and len(set(shard.array.tolist())) == len(suffixes)
+
+
+def test_periodic_text_takes_no_square_of_time():
+    began = time.perf_counter()
+    shard = D.Shard(*text_buffer(pa.array(["ab cd ef " * 111_000])), D.Benchmark(["ab cd ef " * 1_111], 13, 1))
+    assert [x.tolist() for x in shard.longest()] == [[0], [0], [3_333], [0], [0]]
+    assert time.perf_counter() - began < 5
+
+
+def test_long_texts_in_pieces(spark, documents, prose, monkeypatch):
+    items = [(i, prose(i, 20 + i)) for i in range(5)]
+    docs = [(1, " ".join(prose(100 + i, 90) + ", " + items[i % 5][1] for i in range(40))), (2, prose(7, 3000)), (3, "x" * 20_000 + " " + items[0][1])]
+    bench = spark.createDataFrame(items, ITEMS)
+    whole = got(D.matches(documents(docs), bench))
+    monkeypatch.setattr(D, "SHARD", 700)
+    assert got(D.matches(documents(docs), bench)) == whole and {d for d, _ in whole} == {1, 3} and len(whole) == 6
+    assert [r.doc_id for r in D.decontaminated(documents(docs), bench).collect()] == [2]
