@@ -3,11 +3,10 @@
 Texts are lower-cased and cut into words; a document's set holds the hashes of its word n-grams.
 Two documents match where the Jaccard similarity of their sets is at least ``threshold``.
 
-``ngram_pairs`` gives all matching pairs: every pair that shares a bucket is verified, and pairs of documents with equal word
-sequences follow from those of one of them.
+``ngram_links`` verifies every pair of different texts that shares a bucket and gives each document its class, the number of its
+links and its best partner; documents with equal word sequences share the links of one of them, so copies make no pairs.
 
-The pairs of a group of near copies grow with its square (a group of 15,000 has 112 million). Where only groups are
-wanted, ``ngram_join`` is linear in the documents: every document that has a match is
+Where only groups are wanted, ``ngram_join`` verifies far fewer pairs: every document that has a match is
 linked to one verified partner, and groups are the components of all verified candidate pairs.
 
 1. ``sketch``: one pass over the texts gives a digest of the word sequence and the band hashes.
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as W
-from .shared import free_name, gathered, lowered, remove, stored, text_buffer, tune
+from .shared import gathered, lowered, remove, stored, text_buffer, tune
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
 MOST_PERMUTATIONS = 192
@@ -182,23 +181,31 @@ def sketched(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
     repeated = sketch.count() != sketch.select("doc_id").distinct().count()
     if repeated:
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+        # a text before none
+        texts = texts.groupBy("doc_id").agg(F.coalesce(F.min(F.nullif("text", F.lit(""))), F.lit("")).alias("text"))
         remove(spark, sketch.stored_at)
         sketch = stored(texts.mapInArrow(sketches(n, bands, rows), SKETCH), "sketch")
     return texts, sketch
 
 
-def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """All pairs of near copies: (doc_id, partner_id, jaccard), each pair once, doc_id < partner_id.
+def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Documents that have a near copy: (doc_id, class_id, text_id, copies, links, partner_id, jaccard), one row for each.
 
-    ``jaccard`` is exact, of the two n-gram sets, and at least ``threshold``. Pairs are missed with a probability of at most
-    1 - ``recall`` each, pairs of equal word sequences never. A group of k mutual copies has k(k-1)/2 rows; nothing is capped.
+    ``class_id``: the least doc_id of the component of all matching pairs. ``text_id``: the least doc_id of the documents with the same word
+    sequence; ``copies``: how many these are. ``links``: how many different texts match this one; every pair of different texts that
+    shares a band is verified, none is capped. ``partner_id``: the most similar other document (ties: the least id), with the exact Jaccard
+    similarity of the two n-gram sets; of other texts, their text_id stands for all copies. Pairs of different texts are missed
+    with a probability of at most 1 - ``recall`` each, copies never.
 
     Nulls, short texts, repeated doc_ids and other columns: as in ``ngram_join``.
     """
     spark = docs.sparkSession
     texts, sketch = sketched(docs, n, threshold, recall)
-    members = stored(sketch.select("doc_id", F.min("doc_id").over(Window.partitionBy("d1", "d2")).alias("original")), "members")
+    same = Window.partitionBy("d1", "d2")
+    turn = F.row_number().over(same.orderBy("doc_id"))
+    members = sketch.select("doc_id", F.min("doc_id").over(same).alias("text_id"), F.count("*").over(same).alias("copies"), turn.alias("turn"), F.lead("doc_id").over(same.orderBy("doc_id")).alias("after"))
+    # the copy of the least id: for the first that is the second
+    members = stored(members.select("doc_id", "text_id", "copies", F.when(F.col("turn") == 1, F.col("after")).otherwise(F.col("text_id")).alias("copy")), "members")
     originals = sketch.groupBy("d1", "d2").agg(F.min_by(F.struct("doc_id", "grams", "bands"), "doc_id").alias("s")).select("s.*")
     bucket = Window.partitionBy("bucket")
     buckets = originals.select("doc_id", "grams", F.posexplode("bands").alias("band", "hash")).select("doc_id", "grams", F.xxhash64("band", "hash").alias("bucket"))
@@ -214,11 +221,18 @@ def ngram_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     remove(spark, buckets.stored_at)
     edges = stored(verified(pairs, texts, n, threshold), "links")
     remove(spark, pairs.stored_at)
-    left, right = (members.select(F.col("original").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in "ab")
-    wide = edges.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b"), "jaccard").join(left, "a").join(right, "b")
-    alike = left.join(right, left["a"] == right["b"]).filter("a_id < b_id").withColumn("jaccard", F.lit(1.0))
-    found = wide.select("a_id", "b_id", "jaccard").unionByName(alike.select("a_id", "b_id", "jaccard"))
-    return found.select(F.least("a_id", "b_id").alias("doc_id"), F.greatest("a_id", "b_id").alias("partner_id"), "jaccard")
+    root = components(edges.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b")))
+    ends = edges.unionByName(edges.select(F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), "jaccard"))
+    best = F.max_by(F.struct("jaccard", "partner_id"), F.struct("jaccard", F.bitwise_not("partner_id"))).alias("best")
+    by_text = ends.groupBy("doc_id").agg(F.count("*").alias("links"), best).select(F.col("doc_id").alias("text_id"), "links", "best")
+    by_text = by_text.join(root.select(F.col("doc_id").alias("text_id"), "root"), "text_id", "left")
+    rows = members.join(by_text, "text_id", "left").filter("copies > 1 or links > 0")
+    # a copy has similarity 1; another text of the same set may have the lesser id
+    copy = F.col("copy").isNotNull() & (F.col("best").isNull() | (F.col("best.jaccard") < 1) | (F.col("copy") < F.col("best.partner_id")))
+    return rows.select(
+        "doc_id", F.coalesce("root", "text_id").alias("class_id"), "text_id", "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"),
+        F.when(copy, F.col("copy")).otherwise(F.col("best.partner_id")).alias("partner_id"), F.when(copy, F.lit(1.0)).otherwise(F.col("best.jaccard")).alias("jaccard"),
+    )
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -229,8 +243,8 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     one row. Candidates are missed with a probability of at most 1 - ``recall`` a pair.
 
     Nulls: rows without doc_id or text take no part. Empty texts and texts without words match nothing.
-    A text of fewer than n words is one gram. Rows that repeat a doc_id count as one document, with the least
-    text of that id. Ties between partners go to the least id. Other columns are ignored, whatever their names. An empty
+    A text of fewer than n words is one gram; texts of any length are read whole. Rows that repeat a doc_id count as one document, with the least
+    text of that id that isn't empty. Ties between partners go to the least id. Other columns are ignored, whatever their names. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
@@ -281,24 +295,21 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
 
 def one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` without near copies: of each group, the document of the least doc_id stays.
+    """``docs`` without near copies: of each group, the row of the least doc_id stays.
 
-    All columns stay. Of rows that repeat a doc_id one stays, the one of the least text. Rows without a doc_id, and texts without words, stay as they are.
+    All columns stay, whatever their names. Where a doc_id is null or repeats, rows are told apart by their place in the order of doc_id (null last) and text, so
+    each text is judged for itself and no text goes but for a near copy that stays. Texts without words are copies of nothing: such rows stay as
+    they are. Of rows that repeat, one stays. An empty table gives an empty result.
     """
+    found = docs.groupBy(F.col("doc_id").cast("long").alias("i")).count().agg(F.count_if(F.col("i").isNull() | (F.col("count") > 1)).alias("odd")).first()
+    if found.odd:
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+        rows = docs.select(own, F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+        # rows that repeat are spread over tasks by the third key
+        order = [F.col("i").asc_nulls_last(), F.col("text").asc_nulls_last(), F.monotonically_increasing_id()]
+        rows = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order[:2]).select("d", "text", F.monotonically_increasing_id().alias("doc_id")), "numbered")
+        return one_of_each_group(rows, n, threshold, recall).select("d.*")
     groups = stored(ngram_join(docs, n, threshold, recall), "groups")
-    key = F.col("doc_id").cast("long").alias("doc_id")
     gone = groups.filter("doc_id > group_id").select("doc_id")
-    repeated = stored(docs.select(key).filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"), "repeated")
-    many = repeated.count()
-    out = _joined(docs, gone.unionByName(repeated), groups.count() + many, "left_anti")
-    if not many:
-        return out
-    turn = Window.partitionBy("doc_id").orderBy("text")
-    c = free_name(docs, "turn")
-    first = _joined(docs, repeated, many, "left_semi").withColumn(c, F.row_number().over(turn)).filter(F.col(c) == 1).drop(c)
-    return out.unionByName(first)
-
-
-def _joined(docs: DataFrame, ids: DataFrame, most: int, how: str) -> DataFrame:
-    """Semi or anti join by doc_id; up to FEW_IDS ids go to every task, so that texts aren't shuffled."""
-    return docs.join(F.broadcast(ids) if most <= FEW_IDS else ids, docs["doc_id"].cast("long") == ids["doc_id"], how)
+    # up to FEW_IDS ids go to every task, so that texts aren't shuffled
+    return docs.join(F.broadcast(gone) if groups.count() <= FEW_IDS else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

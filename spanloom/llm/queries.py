@@ -9,8 +9,8 @@ from .shared import table
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near copies."""
-    return ngram_join.ngram_pairs(table(spark, sf_dir, "documents"))
+    """One row for each document that has a near copy: its class, its links and its best partner."""
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

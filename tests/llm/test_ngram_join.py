@@ -95,19 +95,39 @@ def test_chains_of_trees(spark):
     assert {r.root for r in J.roots(links).collect()} == {0}
 
 
-def test_the_registered_query_gives_all_pairs(spark, documents, prose, words, tmp_path):
+def test_the_registered_query_counts_all_links(spark, documents, prose, words, tmp_path):
     from spanloom.llm import queries
 
     base = prose(5, 200)
     rows = [(i, edited(base, 0.03, i, words)) for i in range(40)] + [(100 + i, base) for i in range(12)]
     rows += [(200 + k, edited(prose(6, 150), 0.06 * k, k, words)) for k in range(8)]  # a chain: its ends are unlike
     rows += [(300 + i, prose(300 + i, 60)) for i in range(20)] + [(400, ""), (401, ""), (402, "one word"), (403, "One word!")]
+    rows += [(500, "a b c d a b c"), (501, "b c d a b c d a"), (502, "b c d a b c d a")]  # one set, two texts
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = queries.op4_ngram_join(spark, str(tmp_path)).collect()
-    pairs, _ = brute(rows)
-    found = {(r.doc_id, r.partner_id): r.jaccard for r in got}
-    assert len(found) == len(got) and set(found) <= set(pairs)
-    assert len(found) >= 0.95 * len(pairs) and all(abs(pairs[p] - j) < 1e-9 for p, j in found.items())
-    assert {p for p, j in pairs.items() if p[0] >= 100 and p[1] < 200} <= set(found) and (402, 403) in found
-    best = max(pairs, key=lambda p: (0 in p, pairs[p]))
-    assert best in found
+    got = {r.doc_id: r for r in queries.op4_ngram_join(spark, str(tmp_path)).collect()}
+    pairs, group = brute(rows)
+    text = {}
+    for i, t in rows:
+        text.setdefault(tuple(WORD.findall(t.lower())), []).append(i)
+    own = {i: ids for ids in text.values() for i in ids}
+    assert set(got) == {x for p in pairs for x in p}
+    links = dict.fromkeys(got, 0)
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            # copies share the links of the first
+            links[x] += own[x] is not own[y] and y == own[y][0]
+    for i, r in got.items():
+        assert r.text_id == own[i][0] and r.copies == len(own[i]) and r.links <= links[i]
+        assert abs(pairs[min(i, r.partner_id), max(i, r.partner_id)] - r.jaccard) < 1e-9
+        if r.copies > 1:
+            assert r.jaccard == 1
+    assert sum(r.links for r in got.values()) >= 0.95 * sum(links.values())
+    assert sum(r.class_id == group[i] for i, r in got.items()) >= 0.95 * len(got)
+    assert (got[500].partner_id, got[501].partner_id, got[502].partner_id) == (501, 500, 500) and got[502].links == 1
+
+
+def test_no_text_is_lost_for_a_repeated_or_missing_id(documents, prose):
+    rows = [(1, None), (1, prose(1, 50)), (2, prose(1, 50)), (3, prose(2, 50)), (3, prose(3, 50)), (None, prose(4, 50)), (None, prose(4, 50)), (None, prose(2, 50)), (None, None), (4, "")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in J.one_of_each_group(documents(rows)).collect())
+    assert kept == sorted([(1, ""), (1, prose(1, 50)), (3, prose(2, 50)), (3, prose(3, 50)), (0, prose(4, 50)), (0, ""), (4, "")])
+    assert {r.doc_id for r in J.ngram_join(documents(rows)).collect()} == {1, 2}
