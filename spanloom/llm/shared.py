@@ -36,6 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of ids or paths, some 10 MB, up to which a table is sent to every task.
+FEW_ROWS = 100_000
+
+
+def filesystem(uri: str):
+    """(filesystem, path) of a URI by pyarrow; the scheme says which."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def is_parquet(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet table as it was read, so that its rows have addresses."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
