@@ -33,72 +33,113 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 #: Block elements end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
+#: What may be ended by an opening tag: names and limits, and the tags that begin or limit any of them.
+SCOPES = [({"p"}, {"table", "td", "th", "article", "section", "div", "body", "blockquote"}), *ENDS.values()]
+SCOPE_OF = {name: k + 1 for k, name in enumerate(ENDS)}
+SCOPE_TAGS = frozenset().union(*(names | limits for names, limits in SCOPES))
 SPACES = re.compile(r"\s+")
 #: Least logarithm of a density's base.
 LEAST_LOG = 0.1
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum", "scopes")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
+        #: For each of SCOPES the nearest open element of its names, this one included, before a limit.
+        self.scopes: tuple[Node | None, ...] = parent.scopes if parent else (None,) * len(SCOPES)
+        if tag in SCOPE_TAGS:
+            self.scopes = tuple(None if tag in limits else self if tag in names else up for up, (names, limits) in zip(self.scopes, SCOPES, strict=True))
         self.children: list[Node] = []
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends, after its ``>``, which may stand in quotes; a quote that is never closed is none. ``last``: the last place of each quote."""
+    while m := STOP.search(page, at):
+        c = m[0]
+        if c == ">":
+            return m.end()
+        at = page.find(c, m.end()) + 1 if m.start() < last[c] else m.end()
+    return len(page)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; whatever is wrong in it is mended: tags without an end end with their parent, ends without a start are dropped."""
+    """The tree of a page; whatever is wrong in it is mended: tags without an end end with their parent, ends without a start are dropped.
+
+    Time is linear in the page: every character is passed once, and no end or start of an element looks at elements that it doesn't end.
+    """
     root = Node("#root", None)
     at, here, n = 0, root, len(page)
+    last = {c: page.rfind(c) for c in "\"'"}
+    opened: dict[str, int] = {}
+
+    def close(to: Node) -> Node:
+        """Ends all open elements up to ``to``, itself included."""
+        up = here
+        while True:
+            opened[up.tag] -= 1
+            if up is to:
+                return up.parent
+            up = up.parent
+
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             _text(here, page[at:])
             break
-        if m.start() > at:
-            _text(here, page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        c = page[start + 1 : start + 2]
+        if c == "/":
+            m = NAME.match(page, start + 2)
+        elif c == "!" or c == "?":
+            if start > at:
+                _text(here, page[at:start])
+            mark, until = ("<!--", "-->") if page.startswith("<!--", start) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", start) else ("<!", ">")
+            end = page.find(until, start + len(mark))
+            at = end + len(until) if end >= 0 else n
             continue
-        name = name.lower()
-        if m[1]:
-            up = here
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+        else:
+            m = NAME.match(page, start + 1)
+        if m is None:
+            # no tag: the sign is text
+            _text(here, page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            _text(here, page[at:start])
+        at = tag_end(page, m.end(), last)
+        name = m[0].lower()
+        if c == "/":
+            if opened.get(name):
+                up = here
+                while up.tag != name:
+                    up = up.parent
+                here = close(up)
             continue
-        if name in ENDS_P:
-            here = _ended(here, {"p"}, {"table", "td", "th", "article", "section", "div", "body", "blockquote"})
-        if name in ENDS:
-            here = _ended(here, *ENDS[name])
+        if name in ENDS_P and here.scopes[0] is not None:
+            here = close(here.scopes[0])
+        if name in SCOPE_OF and (up := here.scopes[SCOPE_OF[name]]) is not None:
+            here = close(up)
         node = Node(name, here)
         here.children.append(node)
         here.parts.append(node)
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or page.endswith("/", m.end(), at - 1):
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             at = end.end() if end else n
             continue
         here = node
+        opened[name] = opened.get(name, 0) + 1
     return root
 
 
-def _ended(here: Node, names: set[str], limits: set[str]) -> Node:
-    up = here
-    while up.parent is not None and up.tag not in limits:
-        if up.tag in names:
-            return up.parent
-        up = up.parent
-    return here
-
-
 def _text(here: Node, raw: str) -> None:
     here.parts.append(html.unescape(raw) if "&" in raw else raw)
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python. Long documents make wide rows, so this is far below Spark's default.
-ARROW_ROWS = 256
+#: Rows and bytes in an Arrow batch handed to Python. Long documents make wide rows, so this is far below Spark's defaults.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Rows in a batch joined from several.
 GATHERED_ROWS = 1 << 16
 
@@ -21,6 +21,9 @@ def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that hold whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # -1 is no bound
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

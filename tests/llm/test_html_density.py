@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -109,3 +111,92 @@ def test_every_article_container_is_found(prose):
     # in the order of the page, also where the largest comes last
     text, path, _, _ = H.extract(f"<body><div>{second}</div><div class=ad>{ad}</div><section>{first}</section></body>")
     assert text == "\n".join(paragraphs[6:] + paragraphs[:6]) and path == "body/section"
+
+
+def copied(node, up=None):
+    """A parsed tree as plain dicts."""
+    out = {"tag": node.tag, "up": up, "kids": [], "text": [x for x in node.parts if isinstance(x, str)], "all": []}
+    for x in node.parts:
+        out["all"].append(x if isinstance(x, str) else copied(x, out))
+        if not isinstance(x, str):
+            out["kids"].append(out["all"][-1])
+    return out
+
+
+def plain_text(node):
+    if isinstance(node, str):
+        return " ".join(("." + node + ".").split())[1:-1]
+    if node["tag"] in H.HIDDEN:
+        return ""
+    inside = "".join(map(plain_text, node["all"]))
+    return f"\n{inside}\n" if node["tag"] in H.BLOCK else inside
+
+
+def brute(source):
+    """The whole extraction by plain recursion over the definitions."""
+    body = copied(H.parse(source))
+    found = lambda n, tag: n if n["tag"] == tag else next((x for x in (found(k, tag) for k in n["kids"]) if x), None)
+    body = found(body, "body") or found(body, "html") or body
+    if not chars(body):
+        return "", 0.0, 0.0
+    ratio = links(body)[0] / chars(body)
+    dense = lambda n: density(n, ratio) if n["tag"] not in H.HIDDEN else 0.0
+    total = lambda n: sum(map(dense, n["kids"]))
+    under = lambda n: [n, *(x for k in shown(n) for x in under(k))]
+    best = lambda n: max(under(n), key=total)
+    top = best(body)
+    path = [top]
+    while path[-1] is not body:
+        path.append(path[-1]["up"])
+    threshold, floor = min(map(dense, path)), min(map(dense, path[:-1] or path))
+    many = sum(dense(k) > 0 for k in top["kids"])
+    usual = max(floor, total(top) / many) if many else floor
+    marked = []
+
+    def visit(n):
+        if any(n is x for x in marked) or not chars(n) or dense(n) < threshold - 1e-9:
+            return
+        b = best(n)
+        if b is top or (total(b) >= floor - 1e-9 if total(b) else dense(b) >= usual - 1e-9):
+            if not any(b is x for x in marked):
+                marked.append(b)
+        if not any(n is x for x in marked):
+            for k in n["kids"]:
+                if k["tag"] not in H.HIDDEN:
+                    visit(k)
+
+    visit(body)
+    texts = ["\n".join(x for x in (" ".join(line.split()) for line in plain_text(n).split("\n")) if x) for n in under(body) if any(n is m for m in marked)]
+    return "\n".join(t for t in texts if t), total(top), threshold
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_the_whole_extraction_against_brute_force(prose, seed):
+    rng = random.Random(seed)
+
+    def part(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return f"<p>{prose(rng.randrange(10**6), rng.randint(1, 60))}</p>"
+        if kind < 0.45:
+            return "".join(f'<a href="/{i}">{prose(rng.randrange(10**6), 2)}</a> ' for i in range(rng.randint(1, 6)))
+        if kind < 0.5:
+            return "<script>var x = 1;</script>" + prose(rng.randrange(10**6), 3)
+        tag = rng.choice(["div", "section", "article", "ul", "span", "td", "b"])
+        return f"<{tag}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 5))) + (f"</{tag}>" if rng.random() < 0.9 else "")
+
+    source = "<html><head><title>x</title></head><body>" + "".join(part(4) for _ in range(rng.randint(1, 5))) + "</body></html>"
+    text, _, best, threshold = H.extract(source)
+    want = brute(source)
+    assert text == want[0] and math.isclose(best, want[1]) and math.isclose(threshold, want[2])
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', "<span>" * 80_000 + "</x>" * 80_000, "<p><table><td>" + "<span>" * 80_000 + "<h1>" * 40_000, "<a '" * 250_000, "<" * 500_000, "<!--" * 250_000, "</" * 400_000, "<script" * 150_000, "&" * 1_000_000, "<li><b>" * 80_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    H.extract(page)
+    assert time.perf_counter() - began < 12
+
+
+def test_an_unclosed_quote_is_none():
+    assert H.extract("<body><p title='a>b'>one</p><p title='x>two</p></body>")[0] == "one\ntwo"
