@@ -116,44 +116,95 @@ def curve_index(coordinates: list[Column], bits: int) -> Column:
 LENGTHS = [-int(-(2 ** (k / 1.75)) // 1) for k in range(1, 1 << BITS)]
 
 
-def ranked(docs: DataFrame, column: str, out: str) -> DataFrame:
+def ranked(pairs: DataFrame, column: str, out: str) -> DataFrame:
     """(value, out): the distinct values of a column in order (null first), spread over the levels."""
-    values = docs.select(F.col(column).cast("string").alias("v")).distinct()
+    values = pairs.select(F.col(column).alias("v")).distinct()
     order = Window.orderBy(F.col("v").asc_nulls_first())
     return values.select("v", (F.row_number().over(order) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n")).select("v", F.expr(f"int(r * {1 << BITS} div n)").alias(out))
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
-    """(d, q0..q3): each row as a struct and its quantised lang, source, n_chars and doc_id."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"), F.col("n_chars").cast("long").alias("n"), F.col("doc_id").cast("long").alias("i"))
-    ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("b")).first()
+    """(d, i, n, q0..q3): each row as a struct, its doc_id and n_chars, and its quantised lang, source, n_chars and doc_id. The statistics take one pass over these four columns."""
+    keys = {"l": F.col("lang").cast("string"), "s": F.col("source").cast("string"), "n": F.col("n_chars").cast("long"), "i": F.col("doc_id").cast("long")}
+    pairs = stored(docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy("l", "s").agg(F.min("i").alias("a"), F.max("i").alias("b")), "pairs")
+    ends = pairs.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
     low, high = (ends.a or 0, ends.b or 0)
     lengths = F.expr(f"array({','.join(map(str, LENGTHS))})")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[c.alias(k) for k, c in keys.items()])
     for column, out in (("l", "q0"), ("s", "q1")):
-        ranks = stored(ranked(docs, {"l": "lang", "s": "source"}[column], out), "ranks")
+        ranks = stored(ranked(pairs, column, out), "ranks")
         # few values go to every task; a shuffle would send all rows of a hot value to one
         rows = rows.join(F.broadcast(ranks) if ranks.count() <= FEW_VALUES else ranks, F.col(column).eqNullSafe(F.col("v"))).drop("v")
     # wide enough for any two ids and 32 times their distance
     wide = lambda v: f"cast({v} as decimal(20,0))"
     low_, span = wide(f"'{low}'"), wide(f"'{high - low + 1}'")
     return rows.select(
-        "d", "q0", "q1", F.size(F.filter(lengths, lambda t: t <= F.coalesce(F.col("n"), F.lit(0)))).alias("q2"),
+        "d", "i", "n", "q0", "q1", F.size(F.filter(lengths, lambda t: t <= F.coalesce(F.col("n"), F.lit(0)))).alias("q2"),
         F.expr(f"int((coalesce({wide('i')}, {low_}) - {low_}) * {1 << BITS} div {span})").alias("q3"),
     )
 
 
+#: Characters, by n_chars, of a range that one task sorts and writes; ROW_CHARS are added for each row.
+RANGE_CHARS, ROW_CHARS = 16 << 20, 64
+#: Ranges at most, about: beyond RANGE_CHARS times this, ranges grow with the table, and tasks sort with spilling.
+MOST_RANGES = 100_000
+#: Tasks on each core at least, where there is less to do.
+TASKS_A_CORE = 2
+#: A cell with more than a range's characters is cut at these many quantiles of its doc_ids at most.
+QUANTILES = 1_000
+
+
+def ranges(placed: DataFrame, fewest: int) -> tuple[DataFrame, int]:
+    """(h, first, cuts) for each cell of the curve, and how many ranges there are: ranges follow the curve and hold about equal numbers of characters.
+
+    A cell lies in the range ``first``, or is cut by doc_id at ``cuts`` into that range and those after it, where it alone has more than a range should.
+    There are at most 2**20 cells; n_chars only balances the ranges, so that a wrong one does no harm to the order.
+    """
+    sized = placed.select("h", "i", (F.greatest(F.coalesce("n", F.lit(0).cast("long")), F.lit(0)) + F.lit(ROW_CHARS)).alias("w"))
+    cells = stored(sized.groupBy("h").agg(F.sum("w").cast("double").alias("w")), "cells")
+    total = cells.agg(F.sum("w")).first()[0] or 0.0
+    share = max(min(RANGE_CHARS, total / fewest), total / MOST_RANGES, 1.0)
+    along = cells.withColumn("before", F.coalesce(F.sum("w").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    large = along.filter(F.col("w") > share)
+    cut = [k / QUANTILES for k in range(1, QUANTILES)]
+    # ids are read again only where a cell is large
+    cut_from = sized.join(F.broadcast(large.select("h")), "h", "left_semi") if large.limit(1).count() else sized.limit(0)
+    quantiles = cut_from.groupBy("h").agg(F.percentile_approx("i", cut, 10 * QUANTILES).alias("quantiles"))
+    # a large cell begins a range of its own and has as many as its characters take; small ones are gathered
+    own = F.when(F.col("w") > share, F.least(F.ceil(F.col("w") / share), F.lit(QUANTILES))).otherwise(0).cast("int")
+    found = along.join(quantiles, "h", "left").withColumn("own", own)
+    # the number of a cell's range: the whole shares of small cells before it, and all ranges of large ones
+    order = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum(F.when(F.col("own") > 0, 1).otherwise(0)).over(order) * 2 - F.when(F.col("own") > 0, 1).otherwise(0)
+    found = found.withColumn("run", run)
+    inner = Window.partitionBy("run").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("part", F.when(F.col("own") > 0, 0).otherwise(F.floor(F.coalesce(F.sum("w").over(inner), F.lit(0.0)) / share)).cast("int"))
+    sizes = found.groupBy("run").agg((F.max("part") + F.greatest(F.max("own"), F.lit(1))).alias("size"))
+    starts = sizes.select("run", F.coalesce(F.sum("size").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = lambda k: F.greatest(F.floor(k * F.lit(QUANTILES) / F.col("own")).cast("int"), F.lit(1))
+    cuts = F.when(F.col("own") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("own") - 1, F.lit(1))), lambda k: F.element_at("quantiles", place(k))))
+    table = stored(found.join(starts, "run").select("h", (F.col("start") + F.col("part")).cast("int").alias("first"), F.filter(F.coalesce(cuts, F.expr("array()").cast("array<bigint>")), lambda x: x.isNotNull()).alias("cuts")), "ranges")
+    many = table.agg(F.max(F.col("first") + F.size("cuts") + 1)).first()[0] or 1
+    return table, many
+
+
 def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with ``hilbert``, the index of its cell on the curve, and ``shard``, the number of its run.
 
     All documents are ordered by hilbert, then doc_id, then text; runs of ``shard_rows`` documents are the shards 0, 1, ..., of which only the last may be shorter.
 
     Nulls: a null lang or source is a value of its own, before the others; a null n_chars counts as 0; a null doc_id has the least
-    coordinate and sorts first. Texts aren't looked at but to break ties of doc_id; rows that repeat stay apart. All columns
+    coordinate and sorts first. Texts aren't looked at but to break ties of doc_id, however long; rows that repeat stay apart. All columns
     stay; the two new ones get underscores in front where their names are taken. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     h, shard = free_name(docs, "hilbert"), free_name(docs, "shard")
-    placed = coordinates(docs).select("d", curve_index([F.col(f"q{i}") for i in range(4)], BITS).alias("h"))
-    order = placed.repartitionByRange("h", "d.doc_id").sortWithinPartitions("h", "d.doc_id", "d.text")
+    placed = coordinates(docs).select("d", "i", "n", curve_index([F.col(f"q{i}") for i in range(4)], BITS).alias("h"))
+    table, many = ranges(placed, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    above = F.size(F.filter("cuts", lambda x: F.col("i") > x))
+    cut = placed.join(F.broadcast(table), "h").select("d", "i", "h", (F.col("first") + F.when(F.size("cuts") > 0, above).otherwise(0)).alias("range"))
+    # each range is one partition, in order
+    order = cut.repartitionById(many, F.col("range")).sortWithinPartitions("h", "i", "d.text").drop("i", "range")
     # the number of a sorted row: its partition in the upper bits, its place in the partition in the lower 33
     run = stored(order.withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33)

@@ -52,3 +52,23 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     assert got.columns == [*df.columns, "_hilbert", "_shard"] and {r._shard for r in got.collect()} == {0, 1, 2, 3}
     H.written(H.sharded(df.drop("hilbert", "shard"), 6), f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/shards").count() == 20
+
+
+@pytest.mark.parametrize("chars", [200, 3_000, 40_000, 10**9])
+def test_ranges_by_characters_keep_the_order(documents, chars, monkeypatch):
+    monkeypatch.setattr(H, "RANGE_CHARS", chars)
+    rows = [(i * i % 7919, f"t{i % 3}", "en", "hot" if i % 3 else f"s{i % 5}", 10 if i % 9 else 4000) for i in range(1500)]
+    rows += [(None, f"n{i}", "en", "hot", 10) for i in range(30)] + [(8000 + i, None, None, None, None) for i in range(5)]
+    docs = documents(rows)
+    got = H.sharded(docs, 50)
+    out = got.collect()
+    low = lambda r: (r.hilbert, r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")
+    order = sorted(out, key=lambda r: (r.shard, *low(r)))
+    assert [low(r) for r in order] == sorted(low(r) for r in out) and sorted(r.shard for r in out) == [i // 50 for i in range(len(rows))]
+    placed = H.coordinates(docs).select("i", "n", H.curve_index([H.F.col(f"q{i}") for i in range(4)], H.BITS).alias("h"))
+    table, many = H.ranges(placed, 1)
+    found = table.orderBy("h").collect()
+    firsts = [r["first"] for r in found]
+    assert firsts == sorted(firsts) and many >= min(3 * 10**5 // max(chars, 1), 20)
+    for a, b in itertools.pairwise(found):
+        assert b["first"] >= a["first"] + len(a["cuts"]) and a["cuts"] == sorted(a["cuts"])
