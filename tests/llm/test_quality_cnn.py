@@ -78,3 +78,47 @@ def test_training_takes_at_most_the_bound(spark, documents, corpus):
     texts, good = Q.labelled(docs, labels, 100)
     assert len(texts) == len(good) == 100
     assert len(Q.labelled(docs, labels)[0]) == 800
+
+
+def test_probabilities_against_plain_loops(corpus):
+    model = Q.train([t for _, t, _ in corpus[:40]], np.array([q == 1 for _, _, q in corpus[:40]]))
+    texts = ["", "short", corpus[50][1][:300], "é" * 200, "x" * 600]
+    got = Q.probabilities(*text_buffer(pa.array(texts)), model)
+    for text, p in zip(texts, got, strict=True):
+        data = text.encode()
+        rows, at = [], 0
+        while True:
+            chunk = data[at : at + Q.CHUNK].ljust(Q.CHUNK, b"\0")
+            best = np.full(Q.FILTERS, -np.inf)
+            for i in range(Q.CHUNK - Q.WIDTH + 1):  # every byte
+                best = np.maximum(best, np.concatenate([model["e"][b] for b in chunk[i : i + Q.WIDTH]]) @ model["w"])
+            rows.append(np.maximum(best + model["b"], 0))
+            at += Q.STEP
+            if at + Q.CHUNK - Q.STEP >= len(data):
+                break
+        rows = np.array(rows)
+        x = np.concatenate((rows.mean(axis=0), rows.max(axis=0), [np.log1p(len(data)) / 4, min(len(data) / Q.CHUNK, 1)]))
+        y = np.maximum(x @ model["h"] + model["a"], 0) @ model["v"] + model["c"][0]
+        assert abs(1 / (1 + np.exp(-y)) - p) < 1e-4
+
+
+def test_a_long_text_takes_little_memory(corpus):
+    import tracemalloc
+
+    model = Q.train([t for _, t, _ in corpus[:40]], np.array([q == 1 for _, _, q in corpus[:40]]))
+    raw, offsets = text_buffer(pa.array(["word " * 400_000]))
+    Q.probabilities(raw[:1000], np.array([0, 1000]), model)
+    tracemalloc.start()
+    Q.probabilities(raw, offsets, model)
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(raw)
+    tracemalloc.stop()
+
+
+def test_training_texts_are_bounded_in_bytes_and_any_case_of_text_will_do(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)], "doc_id long, Text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], LABELS)
+    monkeypatch.setattr(Q, "MOST_BYTES", 5_000)
+    assert len(Q.labelled(docs, labels)[0]) == 10
+    monkeypatch.setattr(Q, "MOST_BYTES", 1)
+    assert len(Q.labelled(docs, labels)[0]) == 1
+    assert Q.scored(docs, Q.fitted(docs, labels)).columns == ["doc_id", "Text", "probability"]
