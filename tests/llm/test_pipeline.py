@@ -2,15 +2,15 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from spanloom.llm import mixing, quality_cnn, sharding
+from spanloom.llm import quality_cnn, sharding
 from spanloom.llm.shared import stored, text_buffer
 
 from tests.llm.conftest import DOCS
 from tests.llm.test_decontaminate import ITEMS
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_mixing import brute as mix
 from tests.llm.test_ngram_join import brute as copies
 from tests.llm.test_ngram_join import edited
 
@@ -52,15 +52,50 @@ def test_stages(spark, prose, words, tmp_path):
     gone = {d for d, _ in leaks([(r.doc_id, r.text) for r in leak[1]], items)}
     assert len(gone) == 5 and [r.doc_id for r in leak[2]] == [r.doc_id for r in leak[1] if r.doc_id not in gone]
 
-    counts = {}
-    for r in mixed[1]:
-        counts[r.source] = counts.get(r.source, 0) + 1
-    plan = mix(counts, {k: n**mixing.ALPHA for k, n in counts.items()}, mixing.BLOCK, mixing.PERIOD)
-    for s in counts:
-        assert sum(r.source == s for r in mixed[2]) == plan.count(s) * mixing.BLOCK
-    assert {r.doc_id for r in mixed[2]} <= {r.doc_id for r in mixed[1]}
+    # the slots are tested with the operator; the stage keeps all
+    assert mixed[1] == mixed[2]
 
     assert [r[:5] for r in shards[2]] == [tuple(r) for r in shards[1]]
     in_turn = sorted(shards[2], key=lambda r: (r.hilbert, r.doc_id))
     assert [r.shard for r in in_turn] == [i // sharding.SHARD_ROWS for i in range(len(in_turn))]
     assert len(P.run(spark, str(tmp_path)).collect()) == len(shards[2])
+
+
+KEEPS = {  # doc_ids of the odd rows that each stage keeps, 0 for null
+    "n-gram Jaccard join": [-(2**63), 0, 0, 1, 2, 3, 4, 5, 6, 7, 2**63 - 1],
+    "benchmark decontamination": [-(2**63), 0, 2, 3, 4, 5, 6, 7, 2**63 - 1],
+}
+
+
+def tables(spark, at, items, labels):
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_odd_rows_and_clashing_names_in_every_stage(spark, odd, prose, tmp_path):
+    # the item is in rows 1, which repeat, and in a row without a doc_id
+    items = [(1, prose(1, 80)), (2, prose(2, 50)), (3, None), (None, "")]
+    at = tables(spark, tmp_path, items, [(5, 1, 0), (6, 1, 0), (None, 0, 0), (1, None, None)])
+    taken = ["slot", "shard", "hilbert", "probability", "low", "d", "i", "n", "h", "c0", "a.b", "group_id", "range", "at"]
+    wide = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(taken)])
+    for name, stage in P.STAGES:
+        out = stage(spark, wide, at)
+        assert out.columns[: len(wide.columns)] == wide.columns and len(out.columns) == len(wide.columns) + 2 * (name == "sharding")
+        assert name == "sharding" or out.schema.simpleString() == wide.schema.simpleString()
+        rows = out.collect()
+        assert all(r[len(odd.columns) :][: len(taken)] == tuple(range(len(taken))) for r in rows)
+        kept = sorted(r.doc_id or 0 for r in rows)
+        assert kept == KEEPS.get(name, sorted(r.doc_id or 0 for r in odd.collect()))
+    assert out.columns[-2:] == ["_hilbert", "_shard"]
+
+
+def test_empty_tables_in_every_stage(spark, odd, tmp_path):
+    at = tables(spark, tmp_path, [], [])
+    empty = spark.createDataFrame([], DOCS)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, at).count() == 0
+    # nothing is known of quality or of benchmarks: all rows stay
+    assert P.good_quality(spark, odd, at).count() == P.benchmark_leaks(spark, odd, at).count() == odd.count()
+    empty.write.parquet(f"{at}/documents.parquet")
+    assert P.run(spark, at).count() == 0
