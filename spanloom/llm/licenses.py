@@ -37,7 +37,71 @@ def _notice(license_id: str, name: str, phrase: str) -> Template:
     return Template(license_id, name, ((0, phrase),))
 
 
+def _text(license_id: str, name: str, text: str, *phrases: str, slack: int = 12) -> Template:
+    """A longer text of which some phrases are mandatory, each where the text has it, give or take the slack."""
+    words = WORD.findall(text.lower())
+    places = []
+    for phrase in phrases:
+        own = WORD.findall(phrase.lower())
+        places.append(next(i for i in range(len(words)) if words[i : i + len(own)] == own))
+    return Template(license_id, name, tuple((p - places[0], q) for p, q in zip(places, phrases, strict=True)), slack)
+
+
+WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the
+above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted
+to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS"""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your
+option) any later version."""
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def _gnu(license_id: str, title: str, version: str) -> Template:
+    text = _GNU.format(title, version)
+    return _text(license_id, "header", text, f"GNU {title} as published by the Free Software Foundation", f"version {version} of the License", slack=4)
+
+
+#: SPDX identifiers, as tags name them.
+SPDX = (
+    "MIT MIT-0 Apache-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later "
+    "BSD-2-Clause BSD-3-Clause 0BSD ISC MPL-2.0 EPL-1.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 BSL-1.0 Zlib Artistic-2.0 WTFPL PostgreSQL Python-2.0"
+).split()
+
 TEMPLATES = (
+    *[_notice(i, "tag", f"spdx license identifier {i}") for i in SPDX],
+    _text("MIT", "text", _MIT, "Permission is hereby granted, free of charge, to any person obtaining a copy", "without restriction, including without limitation the rights to use", "The above copyright notice and this permission notice shall be included in all copies", "the software is provided as is without warranty of any kind", slack=24),
+    _notice("MIT", "heading", "the mit license mit"),
+    _notice("MIT", "heading with copyright", "mit license copyright"),
+    _text("Apache-2.0", "header", _APACHE, "under the apache license version 2 0", "you may not use this file except in compliance with the license", "distributed under the license is distributed on an as is basis", slack=24),
+    _notice("Apache-2.0", "short", "apache license 2 0"),
+    _notice("Apache-2.0", "shorter", "apache license v2"),
+    _notice("Apache-2.0", "heading", "apache license version 2 0 january 2004"),
+    _gnu("GPL-3.0", "General Public License", "3"),
+    _gnu("GPL-2.0", "General Public License", "2"),
+    _gnu("LGPL-3.0", "Lesser General Public License", "3"),
+    _gnu("LGPL-2.1", "Lesser General Public License", "2 1"),
+    _gnu("AGPL-3.0", "Affero General Public License", "3"),
+    _notice("GPL-3.0", "short", "under the gplv3"),
+    _notice("GPL-2.0", "short", "under the gplv2"),
+    _notice("GPL-3.0", "heading", "gnu general public license version 3 29 june 2007"),
+    _notice("GPL-2.0", "heading", "gnu general public license version 2 june 1991"),
+    _text("BSD-3-Clause", "text", _BSD, "redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", "may be used to endorse or promote products derived from this software", slack=24),
+    _text("BSD-2-Clause or BSD-3-Clause", "text", _BSD, "redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", slack=24),
+    _text("ISC", "text", _ISC, "permission to use copy modify and or distribute this software", "with or without fee is hereby granted", "this permission notice appear in all copies"),
+    _text("Zlib", "text", _ZLIB, "provided as is without any express or implied warranty", "permission is granted to anyone to use this software for any purpose", "the origin of this software must not be misrepresented", slack=24),
+    _text("MPL-2.0", "header", _MPL, "subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file"),
     _notice("MIT", "notice", "under the mit license"),
     Template("MIT", "grant", ((0, "permission is hereby granted free of charge"), (26, "without restriction including without limitation")), 24),
     _notice("Apache-2.0", "notice", "under the apache license version 2 0"),
@@ -66,9 +130,6 @@ TEMPLATES = (
     _notice("Zlib", "notice", "under the zlib license"),
 )
 
-WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-
-
 def words_of(phrase: str) -> list[str]:
     return WORD.findall(phrase.lower())
 
@@ -188,7 +249,7 @@ def scanner(templates: tuple[Template, ...], index: list[list[Phrase]]):
 
 
 def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Licences found: (doc_id, license_id, template, doc_word).
+    """Licences found: (doc_id, license_id, template, doc_word). Full texts, headers with their version clauses, SPDX tags, headings and short notices are known.
 
     One row for each place where a template stands: the word of the document, from 0, at which its first phrase begins. Words are compared in lower case whatever stands between them.
 
