@@ -14,14 +14,14 @@ def test_against_sql_in_any_order(spark, documents, prose, tmp_path, monkeypatch
     con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
     want = {r[0] for r in con.execute(R.oracle_sql("doc_id")).fetchall()}
     assert set(range(25)) <= want and len(want) < len(texts) - 8
-    assert {r.doc_id for r in R.passed(docs, sample=0.5).collect()} == want
-    monkeypatch.setattr(R, "in_order", lambda d, rules, sample: list(reversed(rules)))
+    assert {r.doc_id for r in R.passed(docs, sample_rows=18).collect()} == want
+    monkeypatch.setattr(R, "in_order", lambda d, rules, sample_rows: list(reversed(rules)))
     assert {r.doc_id for r in R.passed(docs).collect()} == want
 
 
 def test_order_is_by_rejection_for_cost(documents, prose):
     docs = documents([(i, "ab" if i % 2 else prose(i, 30)) for i in range(200)])
-    order = R.in_order(docs, sample=1.0)
+    order = R.in_order(docs)
     assert sorted(r.name for r in order) == sorted(r.name for r in R.RULES)
     # a rule that rejects nothing comes after those that do
     assert order[0].name in {"has_text", "mostly_letters", "word_length", "few_capitals"}
@@ -34,3 +34,12 @@ def test_odd_rows_empty_table_and_clashing_names(spark, odd, prose):
     assert R.passed(spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([(1, prose(1, 50), 2, 3, "x")], "doc_id long, text string, d int, h int, w string")
     assert [r.w for r in R.passed(df).collect()] == ["x"]
+
+
+def test_features_are_made_once_and_the_sample_has_a_fixed_size(spark, documents, prose, tmp_path):
+    text = R.cascade(list(R.RULES))
+    assert all(text.count(spark_sql) == 1 for spark_sql, _ in R.FEATURES.values())
+    documents([(i, prose(i, 20)) for i in range(3000)]).repartition(20).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert 150 < R.sampled(docs, 300).count() < 450 and 150 < R.sampled(docs.filter("doc_id >= 0"), 300).count() < 450
+    assert R.sampled(docs, 10**9).count() == 3000 * R.SAMPLE_FILES // 20
