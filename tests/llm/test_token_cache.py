@@ -1,5 +1,7 @@
+import time
+
 from spanloom.llm import token_cache as C
-from spanloom.llm.shared import new_path
+from spanloom.llm.shared import is_parquet, new_path
 
 from tests.llm.conftest import DOCS
 
@@ -37,3 +39,29 @@ def test_odd_rows_empty_table_and_clashing_names(spark, odd):
     assert C.counted(spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([(1, "a b", 5, b"x")], "doc_id long, text string, tokens int, digest binary")
     assert [tuple(r) for r in C.counted(df).collect()] == [(1, 5, b"x", brute(["a b"])[0])]
+
+
+def test_a_parquet_table_is_read_where_it_lies(spark, documents, prose, tmp_path):
+    texts = [prose(i % 50, 5 + i % 50) for i in range(400)] + ["", None]
+    documents(list(enumerate(texts))).repartition(3).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/a table %41/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a table %41/documents.parquet")
+    assert is_parquet(docs) and not is_parquet(docs.filter("doc_id > 5")) and not is_parquet(documents([]))
+    cache = new_path(spark, "cache")
+    want = dict(enumerate(brute(texts)))
+    assert {r.doc_id: r.tokens for r in C.counted(docs, cache).collect()} == want
+    held = C.read_cache(docs, cache)
+    assert held.count() == 51 == held.select("digest").distinct().count()
+    assert {r.doc_id: r.tokens for r in C.counted(docs.filter("doc_id > 5")).collect()} == {k: n for k, n in want.items() if k > 5}
+
+
+def test_long_runs_take_linear_time(documents):
+    t = C.Tokenizer()
+    encoder = C.encoding(t.digest, t.ranks, t.pattern)
+    for gap in (" " * 12_000, "\n" * 12_000, " \n\t" * 5_000):
+        for text in (f"a{gap}b c", f"a{gap}. b", gap + "x", f"a{gap}b{gap}", "a" + gap[:9_000] + "b"):
+            assert C.count_tokens(encoder, text) == len(encoder.encode_ordinary(text))
+    began = time.perf_counter()
+    texts = ["a" + " " * 1_000_000 + "b", " " * 1_000_000, "z" * 1_000_000, "a" + "\r\n" * 500_000]
+    got = {r.doc_id: r.tokens for r in C.counted(documents(list(enumerate(texts)))).collect()}
+    assert got[1] == 0 and got[3] == 1 and got[0] > 2
+    assert time.perf_counter() - began < 30
