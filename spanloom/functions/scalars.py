@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,22 +15,17 @@ def _c(c: Column | str) -> Column:
 def hex_to_ulid(hexadecimal: Column | str) -> Column:
     """26 characters in base 32 for up to 32 hexadecimal digits, zeros added at the left. Digits that are none count as 0."""
     padded = F.lpad(F.regexp_replace(F.lower(_c(hexadecimal)), "[^0-9a-f]", "0"), 32, "0")
-    # 128 bits with 2 zero bits in front are 26 digits of 5 bits
-    bits = F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(padded, i, 8), 16, 2), 32, "0") for i in (1, 9, 17, 25)])
-    return _once(bits, lambda b: F.concat(*[F.substring(F.lit(CROCKFORD), (F.conv(F.substring(b, i * 5 + 1, 5), 2, 10).cast("int") + 1), F.lit(1)) for i in range(26)]))
-
-
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a column that is named many times in it but evaluated once."""
-    return F.element_at(F.transform(F.array(c), f), 1)
+    # 60 bits are 15 hexadecimal digits and 12 of base 32; 8 bits and twice 60 are 128
+    parts = [(1, 2, 2), (3, 15, 12), (18, 15, 12)]
+    plain = F.concat(*[F.lpad(F.conv(F.substring(padded, at, n), 16, 32), digits, "0") for at, n, digits in parts])
+    return F.translate(plain, "0123456789ABCDEFGHIJKLMNOPQRSTUV", CROCKFORD)
 
 
 def ulid_to_hex(ulid: Column | str) -> Column:
     """32 hexadecimal digits of a ULID of 26 characters; null where it isn't one."""
     u = F.upper(_c(ulid))
-    values = [F.call_function("instr", F.lit(CROCKFORD), F.substring(u, i + 1, 1)) - 1 for i in range(26)]
-    bits = F.substring(F.concat(*[F.lpad(F.conv(v.cast("string"), 10, 2), 5, "0") for v in values]), 3, 128)
-    digits = F.concat(*[F.lpad(F.lower(F.conv(F.substring(bits, i * 32 + 1, 32), 2, 16)), 8, "0") for i in range(4)])
+    plain = F.translate(u, CROCKFORD, "0123456789ABCDEFGHIJKLMNOPQRSTUV")
+    digits = F.lower(F.concat(*[F.lpad(F.conv(F.substring(plain, at, n), 32, 16), digits, "0") for at, n, digits in ((1, 2, 2), (3, 12, 15), (15, 12, 15))]))
     return F.when(u.rlike(f"^[{CROCKFORD}]{{26}}$"), digits)
 
 

@@ -19,7 +19,7 @@ _LEX = re.compile(r'\s*(?:(?P<op>[()])|(?P<sign>[+-](?=\S))|"(?P<phrase>[^"]*)"|
 
 @dataclass(frozen=True)
 class Node:
-    """``kind``: tokens, any, all or not."""
+    """``kind``: tokens, any, all, not, or none for what holds no token."""
 
     kind: str
     parts: tuple = ()
@@ -30,7 +30,10 @@ def tokens_of(text: str) -> tuple[str, ...]:
 
 
 def parse(query: str) -> Node | None:
-    """The query's tree: terms are joined by OR; AND, OR, NOT, + and - signs, phrases and parentheses are known. None where it can't be read."""
+    """The query's tree: terms are joined by OR; AND, OR, NOT, + and - signs, phrases and parentheses are known. None where it can't be read.
+
+    Words without a token (signs only, or over 40 bytes) are left out of the query; a query of such words alone matches nothing.
+    """
     lexed: list[tuple[str, str]] = []
     at = 0
     query = query.rstrip()
@@ -64,6 +67,8 @@ def parse(query: str) -> Node | None:
             node = both()
             if node is None:
                 return None
+            if node.kind == "none":
+                continue
             if sign == "-":
                 must.append(Node("not", (node,)))
             elif sign == "+" or node.kind == "not":
@@ -71,7 +76,7 @@ def parse(query: str) -> Node | None:
             else:
                 should.append(node)
         if not must and not should:
-            return None
+            return Node("none")
         if any(m.kind != "not" for m in must) or not should:
             # what must hold decides; optional terms only rank
             return must[0] if len(must) == 1 else Node("all", tuple(must))
@@ -86,6 +91,9 @@ def parse(query: str) -> Node | None:
             parts.append(single())
         if None in parts:
             return None
+        parts = [p for p in parts if p.kind != "none"]
+        if not parts:
+            return Node("none")
         return parts[0] if len(parts) == 1 else Node("all", tuple(parts))
 
     def single() -> Node | None:
@@ -94,7 +102,7 @@ def parse(query: str) -> Node | None:
         if kind == "NOT":
             place += 1
             inner = single()
-            return None if inner is None else Node("not", (inner,))
+            return inner if inner is None or inner.kind == "none" else Node("not", (inner,))
         if kind == "op(":
             place += 1
             inner = clause()
@@ -106,7 +114,7 @@ def parse(query: str) -> Node | None:
             value = lexed[place][1]
             place += 1
             found = tokens_of(value)
-            return Node("tokens", found) if found else None
+            return Node("tokens", found) if found else Node("none")
         return None
 
     tree = clause()
@@ -119,6 +127,8 @@ def pattern(tokens: tuple[str, ...]) -> str:
 
 
 def _column(low: Column, node: Node) -> Column:
+    if node.kind == "none":
+        return F.when(low.isNotNull(), F.lit(False))
     if node.kind == "tokens":
         # tokens are letters and digits only, so they stand for themselves
         found = low.rlike(pattern(node.parts))
@@ -147,11 +157,22 @@ def text_match(column: Column | str, query: str, mode: str = "tokens") -> Column
 
 
 def text_match_any(columns: list[str], query: str) -> Column:
-    """Whether any of the columns matches."""
-    out = F.lit(False)
-    for c in columns:
-        out = out | F.coalesce(text_match(c, query), F.lit(False))
-    return out
+    """Whether the columns together match: each term or phrase may stand in any of them. A null column holds nothing."""
+    tree = parse(query)
+    if tree is None:
+        tests = [F.lower(c).contains(query.lower()) for c in columns]
+        return F.coalesce(*[F.when(t, True) for t in tests], F.lit(False))
+
+    def of(node: Node) -> Column:
+        if node.kind in ("tokens", "none"):
+            return F.coalesce(*[F.when(_column(F.lower(F.col(c)), node), True) for c in columns], F.lit(False))
+        parts = [of(p) for p in node.parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out & p if node.kind == "all" else out | p
+        return ~out if node.kind == "not" else out
+
+    return of(tree)
 
 
 def tokens(column: Column | str) -> Column:

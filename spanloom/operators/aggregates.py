@@ -33,10 +33,16 @@ def grouped(df: DataFrame, keys: list[str], aggregates: list[Column] | None = No
 
 
 def ordered(df: DataFrame, column: str, descending: bool = False, limit: int | None = None, tie: str | None = None) -> DataFrame:
-    """Rows in order of a column, missing values last in ascending and first in descending order; limits are at most 100,000."""
+    """Rows in order of a column, missing values last in ascending and first in descending order."""
     c = F.col(column)
     out = df.orderBy(c.desc_nulls_first() if descending else c.asc_nulls_last(), *([tie] if tie else []))
-    return out if limit is None else out.limit(min(limit, MOST_ROWS))
+    return out if limit is None else out.limit(limit)
 
 
-MOST_ROWS = 100_000
+#: Added to a quantile, so that a whole n * q takes the value after it, as the nearest rank here does.
+ABOVE = 1e-12
+
+
+def percentile_sql(column: str, q: float) -> str:
+    """The exact percentile by nearest rank as an aggregate of Spark SQL. It counts equal values before the shuffle; a group is held as its distinct values."""
+    return f"percentile_disc({min(max(q, 0.0) + ABOVE, 1.0)!r}D) WITHIN GROUP (ORDER BY {column})"

@@ -6,10 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import SORT_KEY
+from ..sources.shared import stored
 
 IDENTITY = ("tenant_id", "span_id")
 
 
+def merged(old: DataFrame, new: DataFrame, newer: bool = False) -> DataFrame:
+    """The latest of each span of ``old``, which has one row for each, and ``new``, which may have more.
+
+    Only rows of ``old`` that ``new`` has too are compared; the others pass, and filters on them reach their scan. ``newer``: every commit of ``new`` is
+    known to be above those of ``old``, so that such rows needn't even be read.
+    """
+    ids = new.select(*IDENTITY).distinct()
+    kept = old.join(ids, list(IDENTITY), "left_anti").select(*old.columns)
+    if newer:
+        return kept.unionByName(latest(new))
+    met = old.join(ids, list(IDENTITY), "left_semi").select(*old.columns)
+    return kept.unionByName(latest(met.unionByName(new)))
+
+
 def latest(spans: DataFrame, by: str = "commit") -> DataFrame:
     """One row for each span. ``by``: commit keeps the highest commit_id; trace_order the first by trace_id, start_time_ms and descending commit_id."""
     order = {"commit": [F.desc("commit_id"), *SORT_KEY], "trace_order": ["trace_id", "start_time_ms", F.desc("commit_id")]}[by]
@@ -24,10 +39,28 @@ def compacted(spans: DataFrame, files: int | None = None) -> DataFrame:
     return placed.sortWithinPartitions(*SORT_KEY)
 
 
+#: Ranges of groups, some 10 MB, up to which their offsets go to every task.
+FEW_GROUPS = 100_000
+
+
 def with_commits(spans: DataFrame, base: int) -> DataFrame:
-    """commit_id from ``base`` on, without gaps, by tenant and partition in the order of the sort key."""
-    turn = Window.partitionBy("tenant_id", "partition_id").orderBy(*SORT_KEY)
-    return spans.withColumn("commit_id", F.row_number().over(turn).cast("long") + F.lit(base - 1))
+    """commit_id from ``base`` on, without gaps, by tenant and partition in the order of the sort key.
+
+    Rows are sorted in ranges and written to the shared folder, so that ids don't change if an executor is lost. A row's number is its place in its range plus the
+    rows of its tenant and partition in the ranges before: no task gets a whole tenant.
+    """
+    order = ["tenant_id", "partition_id", *SORT_KEY]
+    run = stored(spans.drop("commit_id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    # the range in the upper bits, the place in it in the lower 33
+    part = F.shiftright("__at", 33)
+    counts = run.groupBy("tenant_id", "partition_id", part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("tenant_id", "partition_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(counts.select("tenant_id", "partition_id", "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")), "starts")
+    found = run.withColumn("__part", part)
+    keyed = F.broadcast(starts) if starts.count() <= FEW_GROUPS else starts
+    same = [found[c].eqNullSafe(keyed[c]) for c in ("tenant_id", "partition_id")] + [found["__part"] == keyed["__part"]]
+    joined = found.join(keyed, same)
+    return joined.select(*[found[c] for c in run.columns if c != "__at"], (F.col("__at") + F.col("__shift") + F.lit(base)).cast("long").alias("commit_id"))
 
 
 def trace_bounds(spans: DataFrame) -> DataFrame:

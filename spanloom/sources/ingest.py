@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import hex_to_ulid, nanos_to_ms, span_type_of, status_of
 from .schema import SPANS_SCHEMA
 
-_ATTRIBUTE = "struct<key: string, value: struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>>"
-OTLP = f"resourceSpans array<struct<resource: struct<attributes: array<{_ATTRIBUTE}>>, scopeSpans: array<struct<spans: array<struct<traceId: string, spanId: string, parentSpanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: int>, attributes: array<{_ATTRIBUTE}>>>>>>>"
+_ATTRIBUTE = "struct<key: string, value: variant>"
+OTLP = f"resourceSpans array<struct<resource: struct<attributes: array<{_ATTRIBUTE}>>, scopeSpans: array<struct<spans: array<struct<traceId: string, spanId: string, parentSpanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: int>, attributes: array<{_ATTRIBUTE}>>>>>>>, __bad string"
 #: Spans that one request may hold.
 MOST_SPANS = 100_000
 
@@ -21,83 +21,136 @@ def conformed(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SPANS_SCHEMA])
 
 
+_ULID = "^[0-7][0-9A-HJKMNP-TV-Z]{25}$"
+
+
 def _id(c: str) -> Column:
     """The id where it is a ULID; else one from a hash of the row, so that a retried task gives the same."""
     made = hex_to_ulid(F.substring(F.sha2(F.concat_ws("|", F.coalesce(F.col(c), F.lit("")), F.col("__row")), 256), 1, 32))
-    return F.when(F.upper(F.col(c)).rlike("^[0-7][0-9A-HJKMNP-TV-Z]{25}$"), F.upper(F.col(c))).otherwise(made)
+    return F.when(F.upper(F.col(c)).rlike(_ULID), F.upper(F.col(c))).otherwise(made)
 
 
-def ingest_json(requests: DataFrame, column: str = "body", base_commit: int = 1) -> DataFrame:
-    """Spans of JSON requests ``{tenant_id, partition_id, spans: [...]}``.
-
-    partition_id is 0 where missing; ids that are missing or no ULIDs are made from the row; duration_ms is end - start where missing, at least 0. A
-    request of more than 100,000 spans raises.
-    """
+def _requests(requests: DataFrame, column: str) -> DataFrame:
+    """(body, r, reason): each request as parsed, and why it is refused, if it is."""
     fields = [f for f in SPANS_SCHEMA if f.name not in ("tenant_id", "partition_id", "commit_id", "metadata")]
     shape = T.StructType([
         T.StructField("tenant_id", T.LongType()), T.StructField("partition_id", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("metadata", T.StringType())]))),
+        T.StructField("spans", T.ArrayType(T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("metadata", T.StringType())]))), T.StructField("__bad", T.StringType()),
     ])
-    r = requests.select(F.from_json(F.col(column), shape).alias("r"), F.col(column).alias("__body"))
-    ok = F.when(F.size("r.spans") <= MOST_SPANS, F.col("r.spans")).otherwise(F.when(F.col("r.spans").isNotNull(), F.raise_error(F.lit(f"a request holds more than {MOST_SPANS} spans"))))
-    s = r.select("r.tenant_id", F.coalesce("r.partition_id", F.lit(0)).alias("partition_id"), F.sha2("__body", 256).alias("__b"), F.posexplode(ok).alias("__at", "s"))
+    r = requests.select(F.col(column).cast("string").alias("body")).withColumn("r", F.from_json("body", shape, {"columnNameOfCorruptRecord": "__bad"}))
+    lacks = F.exists("r.spans", lambda s: s.isNull() | s["start_time_ms"].isNull() | s["end_time_ms"].isNull())
+    reason = F.when(F.col("body").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull(), "malformed").when(F.col("r.tenant_id").isNull(), "no tenant_id").when(F.col("r.spans").isNull(), "no spans")
+    return r.withColumn("reason", reason.when(F.size("r.spans") > MOST_SPANS, "too many spans").when(lacks, "a span without start or end"))
+
+
+def ingest_rejects(requests: DataFrame, column: str = "body") -> DataFrame:
+    """(body, reason) of the requests that ``ingest_json`` refuses, each as a whole: malformed ones, those without tenant_id or spans, with a span that lacks its times, and with more than 100,000 spans."""
+    return _requests(requests, column).filter("reason is not null").select("body", "reason")
+
+
+def ingest_json(requests: DataFrame, column: str = "body", base_commit: int = 1) -> DataFrame:
+    """Spans of JSON requests ``{tenant_id, partition_id, spans: [...]}``; those of ``ingest_rejects`` are left out.
+
+    partition_id is 0 where missing; ids that are missing or no ULIDs are made from the row, a parent that is none is null; duration_ms is end - start where missing, at least 0.
+    """
+    r = _requests(requests, column).filter("reason is null")
+    s = r.select("r.tenant_id", F.coalesce("r.partition_id", F.lit(0)).alias("partition_id"), F.sha2("body", 256).alias("__b"), F.posexplode("r.spans").alias("__at", "s"))
     s = s.select("tenant_id", "partition_id", F.concat_ws("|", "__b", "__at").alias("__row"), "s.*")
-    s = s.withColumns({"trace_id": _id("trace_id"), "span_id": _id("span_id"), "duration_ms": F.coalesce("duration_ms", F.greatest(F.col("end_time_ms") - F.col("start_time_ms"), F.lit(0)))})
+    parent = F.upper("parent_span_id")
+    s = s.withColumns({
+        "trace_id": _id("trace_id"), "span_id": _id("span_id"), "parent_span_id": F.when(parent.rlike(_ULID), parent),
+        "duration_ms": F.coalesce("duration_ms", F.greatest(F.col("end_time_ms") - F.col("start_time_ms"), F.lit(0))),
+    })
     from ..operators.lifecycle import with_commits
 
-    return conformed(with_commits(s, base_commit))
+    return conformed(with_commits(conformed(s), base_commit))
 
 
 def attribute(attributes: Column, *names: str, kind: str = "string") -> Column:
-    """The first of the attributes that is there, as text, long or double; numbers in texts count."""
+    """The first attribute of the first name that has a value of the kind: a text, a long (also as a text) or a double."""
+    field = {"string": "stringValue", "long": "intValue", "double": "doubleValue"}[kind]
 
     def value(v: Column) -> Column:
-        text = F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
-        if kind == "string":
-            return v["stringValue"]
-        return F.coalesce(v["doubleValue"], text.try_cast("double")) if kind == "double" else F.coalesce(v["intValue"].try_cast("long"), text.try_cast("long"))
+        found = F.try_variant_get(v, f"$.{field}", kind)
+        if kind == "long":
+            return found
+        raw = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+        return F.when((raw == "STRING") if kind == "string" else (raw != "STRING"), found)
 
     def first(name: str) -> Column:
-        return F.get(F.filter(attributes, lambda a: a["key"] == name), F.lit(0))["value"]
+        found = F.transform(F.filter(attributes, lambda a: a["key"] == name), lambda a: value(a["value"]))
+        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+    return F.coalesce(*[first(n) for n in names])
+
+
+def attributes_json(attributes: Column) -> Column:
+    """A JSON object of attributes: values as they stand in the request, null for other kinds. Of a key that repeats the last counts; null keys are left out."""
+    last = F.filter(attributes, lambda a, i: a["key"].isNotNull() & ~F.exists(F.slice(attributes, i + 2, F.size(attributes)), lambda b: b["key"] == a["key"]))
+    kinds = ("stringValue", "intValue", "doubleValue", "boolValue")
+    text = lambda v: F.coalesce(*[F.to_json(F.try_variant_get(v, f"$.{k}", "variant")) for k in kinds], F.lit("null"))
+    # to_json takes no plain text, so the key goes as an array of one
+    key = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda a: F.concat(key(a["key"]), F.lit(":"), text(a["value"]))), ","), F.lit("}"))
 
-    return F.coalesce(*[value(first(n)) for n in names])
+
+def _otlp(requests: DataFrame, column: str) -> DataFrame:
+    r = requests.select(F.col(column).cast("string").alias("body")).withColumn("r", F.from_json("body", OTLP, {"columnNameOfCorruptRecord": "__bad"}))
+    bad = F.col("body").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    return r.withColumn("reason", F.when(bad, "malformed").when(F.col("r.resourceSpans").isNull(), "no resourceSpans"))
+
+
+def otlp_rejects(requests: DataFrame, column: str = "body") -> DataFrame:
+    """(body, reason) of the requests that ``ingest_otlp`` refuses."""
+    return _otlp(requests, column).filter("reason is not null").select("body", "reason")
 
 
 def ingest_otlp(requests: DataFrame, tenant_id: int, column: str = "body", base_commit: int = 1) -> DataFrame:
-    """Spans of OTLP/JSON trace requests, with the gen_ai attributes mapped to columns and all others kept in metadata."""
-    r = requests.select(F.from_json(F.col(column), OTLP).alias("r"))
+    """Spans of OTLP/JSON trace requests, with the gen_ai attributes mapped to columns and all kept in metadata. Those of ``otlp_rejects`` are left out."""
+    r = _otlp(requests, column).filter("reason is null")
     r = r.select(F.explode("r.resourceSpans").alias("rs")).select(F.col("rs.resource.attributes").alias("ra"), F.explode("rs.scopeSpans").alias("ss"))
-    r = r.select("ra", F.explode("ss.spans").alias("s"))
-    a = F.coalesce(F.col("s.attributes"), F.expr(f"cast(array() as array<{_ATTRIBUTE}>)"))
-    resource = F.coalesce(F.col("ra"), F.expr(f"cast(array() as array<{_ATTRIBUTE}>)"))
-    get = lambda *n, kind="string": attribute(a, *n, kind=kind)
+    none = F.expr(f"cast(array() as array<{_ATTRIBUTE}>)")
+    r = r.select(F.coalesce("ra", none).alias("ra"), F.explode("ss.spans").alias("s")).select("ra", "s", F.coalesce("s.attributes", none).alias("a"))
+    get = lambda *n, kind="string": attribute(F.col("a"), *n, kind=kind)
     start, end = nanos_to_ms("s.startTimeUnixNano"), nanos_to_ms("s.endTimeUnixNano")
-    plain = F.map_from_entries(F.transform(a, lambda x: F.struct(x["key"], F.coalesce(x["value"]["stringValue"], x["value"]["intValue"], x["value"]["doubleValue"].cast("string"), x["value"]["boolValue"].cast("string")))))
+    name = F.regexp_replace(F.to_json(F.array(F.coalesce("s.name", F.lit("")))), r"^\[|\]$", "")
     out = r.select(
-        F.lit(tenant_id).cast("long").alias("tenant_id"), F.lit(0).cast("long").alias("partition_id"), hex_to_ulid("s.traceId").alias("trace_id"), hex_to_ulid("s.spanId").alias("span_id"),
+        F.lit(tenant_id).cast("long").alias("tenant_id"), F.lit(0).cast("long").alias("partition_id"), hex_to_ulid(F.coalesce("s.traceId", F.lit(""))).alias("trace_id"), hex_to_ulid(F.coalesce("s.spanId", F.lit(""))).alias("span_id"),
         F.when(F.length("s.parentSpanId") > 0, hex_to_ulid("s.parentSpanId")).alias("parent_span_id"), start.alias("start_time_ms"), end.alias("end_time_ms"), F.greatest(end - start, F.lit(0)).alias("duration_ms"),
-        get("gen_ai.request.model", "gen_ai.response.model").alias("model"), get("gen_ai.tool.name").alias("tool_name"), F.coalesce(get("gen_ai.system"), attribute(resource, "service.name")).alias("provider"),
+        get("gen_ai.request.model", "gen_ai.response.model").alias("model"), get("gen_ai.tool.name").alias("tool_name"), F.coalesce(get("gen_ai.system"), attribute(F.col("ra"), "service.name")).alias("provider"),
         status_of(F.col("s.status.code")).alias("status"), get("gen_ai.prompt").alias("prompt"), get("gen_ai.completion").alias("completion"),
         get("gen_ai.usage.prompt_tokens", "gen_ai.usage.input_tokens", kind="long").alias("prompt_tokens"), get("gen_ai.usage.completion_tokens", "gen_ai.usage.output_tokens", kind="long").alias("completion_tokens"),
         get("gen_ai.request.temperature", kind="double").alias("temperature"), get("gen_ai.request.top_p", kind="double").alias("top_p"), get("user.id").alias("user_id"), get("session.id").alias("session_id"),
-        get("http.request.id", "request.id").alias("request_id"), F.to_json(F.struct(F.col("s.name").alias("otel_span_name"), plain.alias("attributes"))).alias("metadata"),
+        get("http.request.id", "request.id").alias("request_id"), F.concat(F.lit('{"otel_span_name":'), name, F.lit(',"attributes":'), attributes_json(F.col("a")), F.lit("}")).alias("metadata"),
     )
     from ..operators.lifecycle import with_commits
 
-    return conformed(with_commits(out.withColumn("span_type", span_type_of(F.col("model"), F.col("tool_name"))), base_commit))
+    return conformed(with_commits(conformed(out.withColumn("span_type", span_type_of(F.col("model"), F.col("tool_name")))), base_commit))
 
 
 def from_proto(records: DataFrame, base_commit: int = 1) -> DataFrame:
-    """Spans of records that stand for nulls with empty texts and zeros, as protobuf does; required columns keep theirs."""
+    """Spans of records that stand for nulls with empty texts, lists and zeros, as protobuf does; required columns keep theirs.
+
+    Ids that come as bytes are ULIDs of these, zeros added at the left. metadata_json, bytes or text, is metadata where it is JSON, else null.
+    """
     required = {f.name for f in SPANS_SCHEMA if not f.nullable}
     out = records
+    if "metadata_json" in records.columns:
+        text = F.col("metadata_json").cast("string")
+        out = out.withColumn("metadata", F.when(F.try_parse_json(text).isNotNull() & (text != ""), text))
+    for c in ("trace_id", "span_id", "parent_span_id"):
+        if isinstance(records.schema[c].dataType if c in records.columns else None, T.BinaryType):
+            out = out.withColumn(c, F.when(F.lit(c != "parent_span_id") | (F.octet_length(c) > 0), hex_to_ulid(F.hex(c))))
     for f in SPANS_SCHEMA:
-        if f.name in records.columns and f.name not in required and not isinstance(f.dataType, T.ArrayType):
-            empty = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0)
-            out = out.withColumn(f.name, F.nullif(F.col(f.name), empty.cast(f.dataType)))
+        if f.name in out.columns and f.name not in required:
+            if isinstance(f.dataType, T.ArrayType):
+                out = out.withColumn(f.name, F.when(F.size(f.name) > 0, F.col(f.name)))
+            else:
+                empty = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0)
+                out = out.withColumn(f.name, F.nullif(F.col(f.name), empty.cast(f.dataType)))
     from ..operators.lifecycle import with_commits
 
-    return conformed(with_commits(out, base_commit))
+    return conformed(with_commits(conformed(out), base_commit))
 
 
 def synthetic(spark, rows: int, tenants: int = 10, spans_a_trace: int = 10, seed: int = 7) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sources.storage import SpanStore
+from ..sources.storage import SpanStore, stream_name
 
 LATE = "10 minutes"
 
@@ -41,10 +41,14 @@ def sessions(spans: DataFrame, gap: str, late: str = LATE) -> DataFrame:
 
 
 def append_to(spans: DataFrame, store: SpanStore, checkpoint: str) -> StreamingQuery:
-    """Run the stream into a store until it has read what is there, a batch of the store for each micro-batch."""
+    """Run the stream into a store until it has read what is there, a batch of the store for each micro-batch.
 
-    def put(batch: DataFrame, _: int) -> None:
+    The store remembers the last micro-batch of each checkpoint, so one that is run again after a failure isn't added twice.
+    """
+    name = stream_name(checkpoint)
+
+    def put(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.append(batch)
+            store.append(batch, name, number)
 
     return spans.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
