@@ -109,8 +109,8 @@ def leaves(df: DataFrame, column: str, key: str, most: int = DEPTH) -> DataFrame
     return rows.mapInPandas(run, f"key {kind}, path string, value string")
 
 
-def discover(df: DataFrame, column: str, key: str, percent: float = 1.0, most_paths: int = 256) -> DataFrame:
-    """(path, presence, distinct_values): the paths in at least ``percent`` of the rows, the ``most_paths`` most frequent (a top-k report)."""
+def discover(df: DataFrame, column: str, key: str, percent: float = 1.0, most_paths: int = 256, most_values: int = 4096, depth: int = DEPTH) -> DataFrame:
+    """(path, presence, distinct_values): the paths in at least ``percent`` of the rows, the ``most_paths`` most frequent (a top-k report). More than ``most_values`` distinct values are given as so many."""
     total = F.broadcast(df.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * percent / 100)).alias("need")))
-    found = leaves(df, column, key).groupBy("path").agg(F.count_distinct("key").alias("presence"), F.least(F.count_distinct("value"), F.lit(4096)).alias("distinct_values"))
+    found = leaves(df, column, key, depth).groupBy("path").agg(F.count_distinct("key").alias("presence"), F.least(F.count_distinct("value"), F.lit(most_values)).alias("distinct_values"))
     return found.crossJoin(total).filter(F.col("presence") >= F.col("need")).drop("need").orderBy(F.desc("presence"), "path").limit(most_paths)

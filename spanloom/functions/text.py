@@ -7,9 +7,10 @@ or the ends; a phrase matches as a run of tokens. The regular expression runs on
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER = r"[^\p{L}\p{N}]"
@@ -179,3 +180,26 @@ def tokens(column: Column | str) -> Column:
     """The tokens of a text as an array, for indexes that are kept as a column."""
     c = F.col(column) if isinstance(column, str) else column
     return F.filter(F.split(F.lower(c), f"{OTHER}+"), lambda t: (t != "") & (F.octet_length(t) <= LONGEST_TOKEN))
+
+
+#: How fast a term's count saturates, and how much the length of a text counts.
+K1, B = 1.2, 0.75
+
+
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
+def bm25(df: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
+    """(key, score) of the texts that hold any of the terms, by BM25 over all of ``df``. Frequencies and lengths are counted over all texts; null texts have no tokens."""
+    wanted = sorted({t for term in terms for t in tokens_of(term)})
+    rows = df.select(F.col(key).alias(key), F.coalesce(tokens(column), F.expr("cast(array() as array<string>)")).alias("t"))
+    counts = rows.select(key, F.size("t").alias("n"), *[F.size(F.filter("t", _is(w))).alias(f"c{i}") for i, w in enumerate(wanted)])
+    totals = counts.agg(F.count(F.lit(1)).alias("all"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        rarity = F.log(1 + (F.col("all") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        score = score + rarity * F.col(f"c{i}") * (K1 + 1) / (F.col(f"c{i}") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    some = F.greatest(*[F.col(f"c{i}") for i in range(len(wanted))], F.lit(0), F.lit(0)) > 0
+    # the totals are one row
+    return counts.filter(some).crossJoin(F.broadcast(totals)).select(key, score.alias("score"))

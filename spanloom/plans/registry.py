@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonpath, scalars, text
+from ..functions.sql import register
 from ..operators import aggregates, lifecycle, vectors
 from ..sources import ingest
 from ..sources.events import SPANS_SQL, spans, spans_of, table, with_parent
+from ..sources.shared import new_path
 from ..sources.storage import SpanStore
 from ..streaming import spans as streams
 from .dialect import Engine
@@ -40,7 +42,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spans(spark, sf_dir).filter("tenant_id = 1")
     p95 = aggregates.percentiles(own, ["model"], "duration_ms", {"p95_ms": 0.95})
     rate = own.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("status") == "error") / F.count(F.lit(1)), 6).alias("error_rate"))
-    return rate.join(p95, "model")
+    # null is a model too
+    return rate.join(p95.withColumnRenamed("model", "m"), F.col("model").eqNullSafe(F.col("m"))).drop("m")
 
 
 query(
@@ -49,7 +52,7 @@ query(
     "flagship",
 )(flagship)
 
-# -- predicates ------------------------------------------------------------------------------------------------
+# predicates
 
 
 def _filter(name: str, condition: str, columns: str = ID, duck: str | None = None) -> None:
@@ -95,7 +98,7 @@ def project_alias(s, d):
     return spans(s, d).select(F.col("span_id").alias("id"), (F.col("duration_ms") / F.lit(1000.0)).alias("seconds"))
 
 
-# -- aggregates ------------------------------------------------------------------------------------------------
+# aggregates
 
 
 @query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model")
@@ -179,7 +182,33 @@ def cube(s, d):
     return spans(s, d).cube("model", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- order and limits ------------------------------------------------------------------------------------------
+@query(WITH + "SELECT model, status, count(*) AS n FROM spans GROUP BY GROUPING SETS ((model), (status), ())")
+def grouping_sets(s, d):
+    return s.sql("SELECT model, status, count(*) AS n FROM {spans} GROUP BY GROUPING SETS ((model), (status), ())", spans=spans(s, d))
+
+
+@query(WITH + "SELECT model, count(*) FILTER (status = 'error') AS errors, round(stddev_samp(duration_ms), 6) AS spread_ms, round(sum(duration_ms) FILTER (status = 'ok') / 1000, 3) AS ok_s FROM spans GROUP BY model")
+def agg_filter_stddev(s, d):
+    return spans(s, d).groupBy("model").agg(F.count_if(F.col("status") == "error").alias("errors"), F.round(F.stddev_samp("duration_ms"), 6).alias("spread_ms"), F.round(F.sum(F.when(F.col("status") == "ok", F.col("duration_ms"))) / 1000, 3).alias("ok_s"))
+
+
+@query(WITH + "SELECT model, true AS close FROM spans GROUP BY model")
+def approx_distinct(s, d):
+    """Distinct traces by HyperLogLog, within 10 % of the exact number (twice the sketch's standard error of 5 %)."""
+    exact, about = F.count_distinct("trace_id"), F.approx_count_distinct("trace_id", 0.05)
+    return spans(s, d).groupBy("model").agg((F.abs(about - exact) <= F.greatest(exact * 0.1, F.lit(1))).alias("close"))
+
+
+@query(WITH + "SELECT model, true AS close FROM spans GROUP BY model")
+def percentile_approx(s, d):
+    """The 95th percentile by sketch, whose rank is within 1 % of the exact one."""
+    own = spans(s, d)
+    about = own.groupBy("model").agg(F.percentile_approx("duration_ms", 0.95, 1000).alias("about"))
+    rank = own.join(F.broadcast(about), "model").groupBy("model").agg((F.count_if(F.col("duration_ms") < F.col("about")) / F.count(F.lit(1))).alias("below"), (F.count_if(F.col("duration_ms") <= F.col("about")) / F.count(F.lit(1))).alias("upto"))
+    return rank.select("model", ((F.col("below") <= 0.96) & (F.col("upto") >= 0.94)).alias("close"))
+
+
+# order and limits
 
 
 @query(WITH + "SELECT span_id, cost_usd FROM spans ORDER BY cost_usd ASC NULLS LAST, span_id LIMIT 100")
@@ -202,7 +231,7 @@ def order_offset(s, d):
     return spans(s, d).select("span_id", "start_time_ms").orderBy("start_time_ms", "span_id").offset(100).limit(50)
 
 
-# -- full text -------------------------------------------------------------------------------------------------
+# full text
 
 
 def _duck_match(q: str, column: str = "text") -> str:
@@ -258,7 +287,26 @@ def fts_tokens(s, d):
     return table(s, d, "documents").select("doc_id", F.size(text.tokens("text")).cast("long").alias("n_tokens"))
 
 
-# -- JSON ------------------------------------------------------------------------------------------------------
+_BM25 = "ln(1 + (n_all - d{0} + 0.5) / (d{0} + 0.5)) * c{0} * 2.2 / (c{0} + 1.2 * (0.25 + 0.75 * n / mean))"
+
+
+@query(
+    "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND strlen(t) <= 40) AS w FROM documents), "
+    "c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS c0, len(list_filter(w, lambda x: x = 'public')) AS c1 FROM t), "
+    "a AS (SELECT count(*) AS n_all, avg(n) AS mean, count(*) FILTER (c0 > 0) AS d0, count(*) FILTER (c1 > 0) AS d1 FROM c) "
+    f"SELECT doc_id, round({_BM25.format(0)} + {_BM25.format(1)}, 6) AS score FROM c, a WHERE c0 > 0 OR c1 > 0"
+)
+def fts_bm25(s, d):
+    """All texts that hold either term, with their score."""
+    return text.bm25(table(s, d, "documents"), "doc_id", "text", ["license", "public"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_duck_match('license')} AND ({_duck_match('src0', 'source')} OR {_duck_match('src0')})")
+def fts_terms_across_columns(s, d):
+    return table(s, d, "documents").filter(text.text_match_any(["text", "source"], "license AND src0")).select("doc_id")
+
+
+# JSON
 
 
 @query(WITH + "SELECT span_id FROM spans WHERE json_extract_string(metadata, '$.k') = '69'")
@@ -294,46 +342,51 @@ def json_leaves(s, d):
     return jsonpath.leaves(spans(s, d), "metadata", "span_id")
 
 
-# -- vectors ---------------------------------------------------------------------------------------------------
+# vectors
 
 
-def _vector(s: SparkSession, d: str) -> list[float]:
-    return table(s, d, "embeddings").filter("vec_id = 7").first().embedding
+_DISTANCE = "list_distance(a.embedding::double[], b.embedding::double[])"
+#: The queries are all vectors whose id is divisible by 100.
+_ASKED = "FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id"
+_NEAREST = f"SELECT query, vec_id, round(distance, 6) AS distance, place FROM (SELECT a.vec_id AS query, b.vec_id AS vec_id, {_DISTANCE} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE}, b.vec_id) AS place {_ASKED} WHERE {_DISTANCE} IS NOT NULL AND {{}}) WHERE place <= 10"
 
 
-_DISTANCE = "list_distance(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 7))"
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").filter("vec_id % 100 = 0")
 
 
-@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 10")
-def knn_l2(s, d):
-    found = vectors.nearest(vectors.checked(table(s, d, "embeddings"), "embedding", 64), _vector(s, d), 10)
-    return found.select("vec_id", F.round("distance", 6).alias("distance"))
+def _rounded(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), *more)
 
 
-@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE label = 3 ORDER BY {_DISTANCE}, vec_id LIMIT 10")
-def knn_filtered(s, d):
-    return vectors.nearest(table(s, d, "embeddings"), _vector(s, d), 10, where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
+@query(_NEAREST.format("true"))
+def knn_l2(s, d):
+    """The 10 nearest other vectors of each query vector."""
+    return _rounded(vectors.nearest_of_each(_asked(s, d), vectors.checked(table(s, d, "embeddings"), "embedding", 64), 10), "place")
 
 
-_EACH = "list_distance(a.embedding::double[], b.embedding::double[])"
+@query(_NEAREST.format("b.label = 3"))
+def knn_filtered(s, d):
+    return _rounded(vectors.nearest_of_each(_asked(s, d), table(s, d, "embeddings").filter("label = 3"), 10), "place")
 
 
-@query(
-    f"SELECT query, vec_id, round(distance, 6) AS distance, place FROM (SELECT a.vec_id AS query, b.vec_id AS vec_id, {_EACH} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_EACH}, b.vec_id) AS place "
-    f"FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_EACH} IS NOT NULL) WHERE place <= 10"
-)
-def knn_of_each(s, d):
-    """The 10 nearest other vectors of every vector."""
-    found = vectors.nearest_of_each(table(s, d, "embeddings"), table(s, d, "embeddings"), 10)
-    return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), "place")
+@query(f"SELECT a.vec_id AS query, b.vec_id AS vec_id, round({_DISTANCE}, 6) AS distance {_ASKED} WHERE {_DISTANCE} <= 1.2")
+def knn_radius(s, d):
+    return _rounded(vectors.within_of_each(_asked(s, d), table(s, d, "embeddings"), 1.2))
 
 
-@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings WHERE {_DISTANCE} <= 1.2")
-def knn_radius(s, d):
-    return vectors.within(table(s, d, "embeddings"), _vector(s, d), 1.2).select("vec_id", F.round("distance", 6).alias("distance"))
+@query("SELECT vec_id AS query, 10 AS found, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def knn_index(s, d):
+    """The index of cells against the exact search: how many are found of each query, and whether the recall over all is 0.9 at least."""
+    own = table(s, d, "embeddings")
+    exact = vectors.nearest_of_each(_asked(s, d), own, 10)
+    found = vectors.CellIndex(own, 32).nearest(_asked(s, d), 10, 26)
+    met = found.select("query", "vec_id", "place").join(exact.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    recall = met.agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_reached"))
+    return met.groupBy("query").agg(F.count(F.lit(1)).cast("int").alias("found")).crossJoin(F.broadcast(recall))
 
 
-# -- lifecycle -------------------------------------------------------------------------------------------------
+# lifecycle
 
 
 def _versions(s: SparkSession, d: str) -> DataFrame:
@@ -388,7 +441,7 @@ def trace_tree_children(s, d):
     return lifecycle.children(with_parent(spans(s, d)))
 
 
-# -- tenancy and the dialect -----------------------------------------------------------------------------------
+# tenancy and the dialect
 
 
 @query(WITH + "SELECT count(*) AS n, max(tenant_id) AS most FROM spans WHERE tenant_id = 2")
@@ -411,7 +464,22 @@ def dialect_text_match(s, d):
     return Engine(spans(s, d)).sql("SELECT span_id FROM spans WHERE text_match(span_type, 'click view') AND start_time_ms >= 1704070000000", 3)
 
 
-# -- ingest ----------------------------------------------------------------------------------------------------
+@query(WITH + "SELECT span_id FROM spans WHERE tenant_id = 2 AND (coalesce(json_extract_string(metadata, '$.k')::double, 0) >= 90 OR coalesce(json_extract_string(metadata, '$.k')::double, 100) < 5)")
+def dialect_json_range(s, d):
+    return Engine(spans(s, d)).sql("SELECT span_id FROM spans WHERE metadata.k >= 90 OR 5 > metadata.k", 2)
+
+
+@query(WITH + "SELECT span_id, json_extract_string(metadata, '$.k') AS k FROM spans WHERE tenant_id = 1 AND json_extract_string(metadata, '$.k') IN ('3', '5', '69') AND json_extract_string(metadata, '$.k') NOT LIKE '5%'")
+def dialect_json_in(s, d):
+    return Engine(spans(s, d)).sql("SELECT span_id, metadata.k AS k FROM spans WHERE metadata.k IN ('3', '5', '69') AND metadata.k NOT LIKE '5%'", 1)
+
+
+@query(WITH + ", own AS (SELECT * FROM spans WHERE tenant_id = 1), x AS (SELECT trace_id FROM own WHERE status = 'error' GROUP BY trace_id) SELECT model, count(*) AS n FROM own JOIN x USING (trace_id) GROUP BY model")
+def dialect_with_join(s, d):
+    return Engine(spans(s, d)).sql("WITH x AS (SELECT trace_id FROM spans WHERE status = 'error' GROUP BY trace_id) SELECT model, count(*) AS n FROM spans JOIN x USING (trace_id) GROUP BY model", 1)
+
+
+# ingest
 
 
 @query(WITH + "SELECT span_id AS request_id, tenant_id, 0 AS partition_id, start_time_ms, end_time_ms, greatest(end_time_ms - start_time_ms, 0) AS duration_ms, model, 26 AS id_length FROM spans")
@@ -445,7 +513,52 @@ def otlp_normalise(s, d):
     return out.select("request_id", "start_time_ms", "end_time_ms", "duration_ms", "span_type", "status", "provider", "model", "prompt_tokens", "temperature", F.get_json_object("metadata", "$.otel_span_name").alias("span_name"))
 
 
-# -- windows and streams ---------------------------------------------------------------------------------------
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    """One request for each span: repeated keys and attributes of all kinds."""
+    sql = """concat('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"ab","spanId":"', lpad(substring(span_id, 2), 16, '0'), '","name":"x","attributes":[',
+ '{"key":"a","value":{"stringValue":"first"}},{"key":"a","value":{"stringValue":"', model, '"}},{"key":"n","value":{"intValue":', duration_ms, '}},{"key":"s","value":{"intValue":"', duration_ms, '"}},',
+ '{"key":"d","value":{"doubleValue":0.5}},{"key":"b","value":{"boolValue":true}},{"key":"l","value":{"arrayValue":{"values":[]}}},{"value":{"stringValue":"no key"}},{"key":"gen_ai.request.model","value":{"intValue":"1"}},',
+ '{"key":"gen_ai.request.model","value":{"stringValue":"', model, '"}},{"key":"request.id","value":{"stringValue":"', span_id, '"}}]}]}]}]}')"""
+    return spans(s, d).select(F.expr(sql).alias("body"))
+
+
+@query(WITH + "SELECT span_id AS request_id, model, 'llm_call' AS span_type, model AS a FROM spans")
+def otlp_repeated_key(s, d):
+    """Of a repeated key the last counts in the metadata, and the first that is a text as the model."""
+    return ingest.ingest_otlp(_typed(s, d), 9).select("request_id", "model", "span_type", F.get_json_object("metadata", "$.attributes.a").alias("a"))
+
+
+@query(WITH + "SELECT span_id AS request_id, duration_ms::varchar AS n, '\"' || duration_ms || '\"' AS s, '0.5' AS d, 'true' AS b, 'null' AS l FROM spans")
+def otlp_typed_attributes(s, d):
+    """The values of attributes as JSON: numbers stay numbers and texts stay texts."""
+    out = ingest.ingest_otlp(_typed(s, d), 9).select("request_id", F.parse_json("metadata").alias("m"))
+    return out.select("request_id", *[F.to_json(F.variant_get("m", f"$.attributes.{k}", "variant")).alias(k) for k in "nsdbl"])
+
+
+@query(
+    WITH + "SELECT CASE span_type WHEN 'error' THEN 'malformed' WHEN 'click' THEN 'no tenant_id' WHEN 'view' THEN 'no spans' ELSE 'a span without start or end' END AS reason, count(*) AS n FROM spans GROUP BY 1"
+)
+def ingest_rejects(s, d):
+    """Requests that are refused, by reason."""
+    body = F.when(F.col("span_type") == "error", '{"tenant_id": 1, "spans": [').when(F.col("span_type") == "click", '{"spans": []}').when(F.col("span_type") == "view", '{"tenant_id": 1}').otherwise('{"tenant_id": 1, "spans": [{"start_time_ms": 5}]}')
+    return ingest.ingest_rejects(spans(s, d).select(body.alias("body"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    WITH + "SELECT trace_id AS request_id, tenant_id, CASE WHEN status = 'error' THEN status END AS status, nullif(duration_ms % 3, 0) AS prompt_tokens, nullif(cost_usd, 0) AS cost_usd, metadata, 26 AS id_length, true AS no_parent, true AS no_embedding FROM spans"
+)
+def proto_normalise(s, d):
+    """Records with empty texts and zeros for nulls, ids as bytes and metadata as bytes."""
+    records = spans(s, d).select(
+        "tenant_id", "partition_id", F.unhex(F.sha2("trace_id", 256)).alias("hash"), "start_time_ms", "end_time_ms", "duration_ms", F.when(F.col("status") == "error", "error").otherwise("").alias("status"), (F.col("duration_ms") % 3).alias("prompt_tokens"),
+        "cost_usd", F.col("metadata").cast("binary").alias("metadata_json"), F.col("trace_id").alias("request_id"), F.unhex(F.lit("")).alias("parent_span_id"), F.expr("cast(array() as array<float>)").alias("embedding"), F.col("span_id").cast("binary").alias("span_bytes"),
+    )
+    records = records.withColumns({"trace_id": F.expr("substring(hash, 1, 16)"), "span_id": F.expr("substring(span_bytes, 1, 8)")}).drop("hash", "span_bytes")
+    out = ingest.from_proto(records)
+    return out.select("request_id", "tenant_id", "status", "prompt_tokens", "cost_usd", "metadata", F.length("span_id").alias("id_length"), F.col("parent_span_id").isNull().alias("no_parent"), F.col("embedding").isNull().alias("no_embedding"))
+
+
+# windows and streams
 
 _TIME = "make_timestamp(start_time_ms * 1000)"
 
@@ -498,6 +611,53 @@ def set_intersect(s, d):
     return own.filter("status = 'error'").select("trace_id").intersect(own.filter("model = 'm1'").select("trace_id"))
 
 
+@query(WITH + "SELECT trace_id FROM spans WHERE status = 'error' UNION SELECT trace_id FROM spans WHERE model = 'm1'")
+def set_union(s, d):
+    own = spans(s, d)
+    return own.filter("status = 'error'").select("trace_id").union(own.filter("model = 'm1'").select("trace_id")).distinct()
+
+
+@query(WITH + "SELECT trace_id FROM spans WHERE status = 'error' UNION ALL SELECT trace_id FROM spans WHERE model = 'm1'")
+def set_union_all(s, d):
+    own = spans(s, d)
+    return own.filter("status = 'error'").select("trace_id").union(own.filter("model = 'm1'").select("trace_id"))
+
+
+@query(WITH + "SELECT trace_id FROM spans WHERE status = 'error' EXCEPT SELECT trace_id FROM spans WHERE model = 'm1'")
+def set_except(s, d):
+    own = spans(s, d)
+    return own.filter("status = 'error'").select("trace_id").subtract(own.filter("model = 'm1'").select("trace_id"))
+
+
+@query(WITH + "SELECT DISTINCT a.trace_id FROM spans a WHERE EXISTS (SELECT 1 FROM spans b WHERE b.trace_id = a.trace_id AND b.duration_ms > 900)")
+def semi_join(s, d):
+    own = spans(s, d)
+    return own.join(own.filter("duration_ms > 900").select("trace_id"), "trace_id", "left_semi").select("trace_id").distinct()
+
+
+@query(WITH + "SELECT e.span_id AS error_id, s.span_id AS span_id FROM spans e JOIN spans s ON e.status = 'error' AND s.tenant_id = e.tenant_id AND s.start_time_ms BETWEEN e.start_time_ms - 60000 AND e.start_time_ms + 60000")
+def interval_join(s, d):
+    """Spans that start within a minute of an error of their tenant. Both sides are cut into minutes, and an error stands in its own and the two next to it, so the join is one of equal keys."""
+    own = spans(s, d)
+    minute = F.floor(F.col("start_time_ms") / 60_000)
+    errors = own.filter("status = 'error'").select("tenant_id", F.col("span_id").alias("error_id"), F.col("start_time_ms").alias("at"), F.explode(F.array(minute - 1, minute, minute + 1)).alias("minute"))
+    near = own.select("tenant_id", "span_id", "start_time_ms", minute.alias("minute")).join(errors, ["tenant_id", "minute"])
+    return near.filter(F.abs(F.col("start_time_ms") - F.col("at")) <= 60_000).select("error_id", "span_id")
+
+
+@query(
+    WITH + ", n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time_ms, span_id) AS k FROM spans WHERE tenant_id = 1) SELECT span_id, floor(log2(k))::int AS depth FROM n WHERE trace_id = (SELECT arg_min(trace_id, span_id) FROM n WHERE k = 1)"
+)
+def trace_subtree(s, d):
+    """All spans below the first span of a trace, with their depth; the k-th span of a trace has the k/2-th as its parent here."""
+    k = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ms", "span_id"))
+    own = spans(s, d).select("tenant_id", "trace_id", "span_id", k.alias("k"))
+    parents = own.select("trace_id", F.col("k").alias("above"), F.col("span_id").alias("parent_span_id"))
+    tree = own.withColumn("above", F.floor(F.col("k") / 2).cast("int")).join(parents, ["trace_id", "above"], "left")
+    root = own.filter("tenant_id = 1 AND k = 1").orderBy("span_id").select("span_id").first()
+    return lifecycle.subtree(tree, root.span_id if root else "", 1)
+
+
 @query(WITH + "SELECT DISTINCT trace_id FROM spans WHERE trace_id NOT IN (SELECT trace_id FROM spans WHERE duration_ms > 900)")
 def anti_join(s, d):
     own = spans(s, d)
@@ -506,16 +666,7 @@ def anti_join(s, d):
 
 def _store(s: SparkSession) -> SpanStore:
     """A store of its own in the folder that all executors share."""
-    import tempfile
-    import uuid
-
-    found = s.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        s.conf.set("spark.checkpoint.dir", found)
-    return SpanStore(s, f"{found.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return SpanStore(s, new_path(s, "store"))
 
 
 @query(_LATEST.format("commit_id DESC"))
@@ -530,6 +681,36 @@ def store_compaction(s, d):
     return store.spans().select(*_KEPT)
 
 
+@query(WITH + "SELECT span_id, model, status FROM spans WHERE trace_id = 't00000008'")
+def store_trace_lookup(s, d):
+    """One trace of a store with a compacted version and a batch after it."""
+    store = _store(s)
+    own = ingest.conformed(spans(s, d))
+    store.append(own)
+    store.compact()
+    store.append(own.filter("status = 'error'").withColumn("commit_id", F.col("commit_id") + 1_000_000_000))
+    return store.spans().filter("trace_id = 't00000008'").select("span_id", "model", "status")
+
+
+@query(WITH + "SELECT kind, sum(n_rows)::bigint AS n_rows, min(a) AS first_ms, max(b) AS last_ms FROM (SELECT 'silver' AS kind, count(*) AS n_rows, min(start_time_ms) AS a, max(start_time_ms) AS b FROM spans UNION ALL SELECT 'bronze', count(*), min(start_time_ms), max(start_time_ms) FROM spans WHERE status = 'error') GROUP BY kind")
+def store_manifest(s, d):
+    """The parts of a store with their rows and bounds."""
+    store = _store(s)
+    own = ingest.conformed(spans(s, d))
+    store.append(own)
+    store.compact()
+    store.append(own.filter("status = 'error'"))
+    return store.manifest().select("kind", F.col("rows").alias("n_rows"), F.col("min_start_time_ms").alias("first_ms"), F.col("max_start_time_ms").alias("last_ms"))
+
+
+@query(WITH + "SELECT model, round(sum(length(trace_id)), 0)::bigint AS n, count(*) FILTER (json_extract_string(metadata, '$.k') = '69') AS k FROM spans GROUP BY model")
+def sql_functions(s, d):
+    """The functions for plain SQL."""
+    register(s)
+    own = spans(s, d)
+    return s.sql("SELECT model, sum(length(trace_id)) + sum(length(ulid_from_hex('ff')) - 26) + sum(int(l2_distance(array(1D), array(1D)))) AS n, count_if(json_path_eq(metadata, 'k', '69')) AS k FROM {own} GROUP BY model", own=own)
+
+
 @query(WITH + "SELECT model, count(*) AS n FROM spans GROUP BY model")
 def stream_append(s, d):
     """A stream of the event files into a store, read back."""
@@ -539,7 +720,7 @@ def stream_append(s, d):
     return store.raw().groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- star schema -----------------------------------------------------------------------------------------------
+# star schema
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,32 +68,36 @@ def ingest_json(requests: DataFrame, column: str = "body", base_commit: int = 1)
     return conformed(with_commits(conformed(s), base_commit))
 
 
-def attribute(attributes: Column, *names: str, kind: str = "string") -> Column:
-    """The first attribute of the first name that has a value of the kind: a text, a long (also as a text) or a double."""
-    field = {"string": "stringValue", "long": "intValue", "double": "doubleValue"}[kind]
+def typed(attributes: Column) -> Column:
+    """Each attribute as (key, s, i, d, json): its value as a text, a long (also from a text) or a double, null where it isn't of the kind, and as it stands in the request."""
+    kinds = ("stringValue", "intValue", "doubleValue", "boolValue")
+
+    def one(a: Column) -> Column:
+        raw = {k: F.to_json(F.try_variant_get(a["value"], f"$.{k}", "variant")) for k in kinds}
+        text = F.when(raw["stringValue"].startswith('"'), F.try_variant_get(a["value"], "$.stringValue", "string"))
+        number = F.when(~raw["doubleValue"].startswith('"'), raw["doubleValue"].try_cast("double"))
+        parts = {"key": a["key"], "s": text, "i": F.btrim(raw["intValue"], F.lit('"')).try_cast("long"), "d": number, "json": F.coalesce(*raw.values(), F.lit("null"))}
+        return F.named_struct(*[x for name, c in parts.items() for x in (F.lit(name), c)])
 
-    def value(v: Column) -> Column:
-        found = F.try_variant_get(v, f"$.{field}", kind)
-        if kind == "long":
-            return found
-        raw = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-        return F.when((raw == "STRING") if kind == "string" else (raw != "STRING"), found)
+    return F.transform(attributes, one)
 
-    def first(name: str) -> Column:
-        found = F.transform(F.filter(attributes, lambda a: a["key"] == name), lambda a: value(a["value"]))
-        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
-    return F.coalesce(*[first(n) for n in names])
+def attribute(attributes: Column, *names: str, kind: str = "string") -> Column:
+    """The first of the ``typed`` attributes of the first name that has a value of the kind: string, long or double."""
+    field = {"string": "s", "long": "i", "double": "d"}[kind]
+    return F.coalesce(*[F.get(F.filter(attributes, _of(n, field)), F.lit(0))[field] for n in names])
+
+
+def _of(name: str, field: str) -> Callable[[Column], Column]:
+    return lambda a: (a["key"] == name) & a[field].isNotNull()
 
 
 def attributes_json(attributes: Column) -> Column:
-    """A JSON object of attributes: values as they stand in the request, null for other kinds. Of a key that repeats the last counts; null keys are left out."""
-    last = F.filter(attributes, lambda a, i: a["key"].isNotNull() & ~F.exists(F.slice(attributes, i + 2, F.size(attributes)), lambda b: b["key"] == a["key"]))
-    kinds = ("stringValue", "intValue", "doubleValue", "boolValue")
-    text = lambda v: F.coalesce(*[F.to_json(F.try_variant_get(v, f"$.{k}", "variant")) for k in kinds], F.lit("null"))
+    """A JSON object of ``typed`` attributes: values as they stand in the request, null for other kinds. Of a key that repeats the last counts; null keys are left out."""
+    last = F.filter(attributes, lambda a, i: a["key"].isNotNull() & ~F.exists(F.slice(attributes, i + 2, F.size(attributes)), lambda b: F.coalesce(b["key"] == a["key"], F.lit(False))))
     # to_json takes no plain text, so the key goes as an array of one
     key = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
-    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda a: F.concat(key(a["key"]), F.lit(":"), text(a["value"]))), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda a: F.concat(key(a["key"]), F.lit(":"), a["json"])), ","), F.lit("}"))
 
 
 def _otlp(requests: DataFrame, column: str) -> DataFrame:
@@ -110,14 +116,14 @@ def ingest_otlp(requests: DataFrame, tenant_id: int, column: str = "body", base_
     r = _otlp(requests, column).filter("reason is null")
     r = r.select(F.explode("r.resourceSpans").alias("rs")).select(F.col("rs.resource.attributes").alias("ra"), F.explode("rs.scopeSpans").alias("ss"))
     none = F.expr(f"cast(array() as array<{_ATTRIBUTE}>)")
-    r = r.select(F.coalesce("ra", none).alias("ra"), F.explode("ss.spans").alias("s")).select("ra", "s", F.coalesce("s.attributes", none).alias("a"))
+    r = r.select(attribute(typed(F.coalesce("ra", none)), "service.name").alias("service"), F.explode("ss.spans").alias("s")).select("service", "s", typed(F.coalesce("s.attributes", none)).alias("a"))
     get = lambda *n, kind="string": attribute(F.col("a"), *n, kind=kind)
     start, end = nanos_to_ms("s.startTimeUnixNano"), nanos_to_ms("s.endTimeUnixNano")
     name = F.regexp_replace(F.to_json(F.array(F.coalesce("s.name", F.lit("")))), r"^\[|\]$", "")
     out = r.select(
         F.lit(tenant_id).cast("long").alias("tenant_id"), F.lit(0).cast("long").alias("partition_id"), hex_to_ulid(F.coalesce("s.traceId", F.lit(""))).alias("trace_id"), hex_to_ulid(F.coalesce("s.spanId", F.lit(""))).alias("span_id"),
         F.when(F.length("s.parentSpanId") > 0, hex_to_ulid("s.parentSpanId")).alias("parent_span_id"), start.alias("start_time_ms"), end.alias("end_time_ms"), F.greatest(end - start, F.lit(0)).alias("duration_ms"),
-        get("gen_ai.request.model", "gen_ai.response.model").alias("model"), get("gen_ai.tool.name").alias("tool_name"), F.coalesce(get("gen_ai.system"), attribute(F.col("ra"), "service.name")).alias("provider"),
+        get("gen_ai.request.model", "gen_ai.response.model").alias("model"), get("gen_ai.tool.name").alias("tool_name"), F.coalesce(get("gen_ai.system"), F.col("service")).alias("provider"),
         status_of(F.col("s.status.code")).alias("status"), get("gen_ai.prompt").alias("prompt"), get("gen_ai.completion").alias("completion"),
         get("gen_ai.usage.prompt_tokens", "gen_ai.usage.input_tokens", kind="long").alias("prompt_tokens"), get("gen_ai.usage.completion_tokens", "gen_ai.usage.output_tokens", kind="long").alias("completion_tokens"),
         get("gen_ai.request.temperature", kind="double").alias("temperature"), get("gen_ai.request.top_p", kind="double").alias("top_p"), get("user.id").alias("user_id"), get("session.id").alias("session_id"),

@@ -1,3 +1,4 @@
+import json
 import random
 import shutil
 import subprocess
@@ -15,6 +16,7 @@ from spanloom.sources.storage import SpanStore
 from spanloom.streaming import spans as streams
 
 ROOT = Path(__file__).resolve().parents[1]
+DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +140,66 @@ def test_ingest(spark):
     assert ingest.synthetic(spark, 100).count() == 100
 
 
+def test_requests_that_are_refused(spark):
+    good = '{"tenant_id": 1, "spans": [{"start_time_ms": 1, "end_time_ms": 2, "parent_span_id": "bad"}]}'
+    bodies = [good, '{"tenant_id": 1, "spans": []}', "nonsense", None, '{"tenant_id": "x", "spans": []}', '{"spans": []}', '{"tenant_id": 1}', '{"tenant_id": 1, "spans": [{"start_time_ms": 1}]}']
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    assert sorted(r.reason for r in ingest.ingest_rejects(df).collect()) == ["a span without start or end", "malformed", "malformed", "malformed", "no spans", "no tenant_id"]
+    rows = ingest.ingest_json(df).collect()
+    assert len(rows) == 1 and rows[0].parent_span_id is None
+    otlp = spark.createDataFrame([("nonsense",), ("{}",), ('{"resourceSpans": []}',)], "body string")
+    assert sorted(r.reason for r in ingest.otlp_rejects(otlp).collect()) == ["malformed", "no resourceSpans"] and ingest.ingest_otlp(otlp, 1).count() == 0
+
+
+def test_otlp_attributes(spark):
+    a = '{"key":"k","value":{"stringValue":"1"}},{"key":"k","value":{"intValue":2}},{"value":{"stringValue":"x"}},{"key":"q\\"","value":{"doubleValue":1.5}},{"key":"f","value":{"boolValue":false}},{"key":"gen_ai.usage.input_tokens","value":{"intValue":"12"}},{"key":"gen_ai.request.temperature","value":{"doubleValue":"0.1"}},{"key":"gen_ai.request.temperature","value":{"doubleValue":2}}'
+    body = f'{{"resourceSpans":[{{"scopeSpans":[{{"spans":[{{"traceId":"AB","spanId":"1","name":"n","status":{{"code":2}},"attributes":[{a}]}}]}}]}}]}}'
+    r = ingest.ingest_otlp(spark.createDataFrame([(body,)], "body string"), 3).first()
+    assert json.loads(r.metadata) == {"otel_span_name": "n", "attributes": {"k": 2, 'q"': 1.5, "f": False, "gen_ai.usage.input_tokens": "12", "gen_ai.request.temperature": 2}}
+    assert (r.prompt_tokens, r.temperature, r.status, r.span_type, r.tenant_id, len(r.trace_id)) == (12, 2.0, "error", "agent_step", 3, 26)
+
+
+def test_proto_records(spark):
+    shape = "tenant_id long, partition_id long, trace_id binary, span_id binary, parent_span_id binary, start_time_ms long, end_time_ms long, duration_ms long, status string, prompt_tokens long, metadata_json binary, embedding array<float>"
+    rows = [(1, 0, b"\x01", b"\x00\x02", b"", 5, 6, 1, "", 0, b"{", []), (1, 0, b"\x01" * 16, b"\x03" * 8, b"\x02", 5, 6, 1, "ok", 4, b'{"a": 1}', [0.5])]
+    got = sorted(ingest.from_proto(spark.createDataFrame(rows, shape)).collect(), key=lambda r: r.trace_id)
+    assert got[0].trace_id == "0" * 25 + "1" and (got[0].parent_span_id, got[0].status, got[0].prompt_tokens, got[0].metadata, got[0].embedding) == (None,) * 5
+    assert got[1].parent_span_id.endswith("02"[-1]) and (got[1].status, got[1].prompt_tokens, got[1].metadata, got[1].embedding) == ("ok", 4, '{"a": 1}', [0.5]) and {r.commit_id for r in got} == {1, 2}
+
+
+def test_words_without_tokens_are_left_out_of_a_query(spans):
+    match = lambda q: spans.filter(text.text_match("prompt", q)).count()
+    assert match("out & memory") == match("out memory") and match("&") == 0 and match("NOT &") == 0 and match("x" * 50) == 0 and match("memory AND " + "x" * 50) == match("memory")
+    two = spans.withColumn("other", F.when(F.col("span_id").endswith("7"), "note"))
+    assert two.filter(text.text_match_any(["prompt", "other"], "memory AND note")).count() == 5 and two.filter(text.text_match_any(["prompt", "other"], "well AND NOT note")).count() == 45
+
+
+def test_index_of_cells(spark):
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 5) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [x + rng.gauss(0, 1) for x in rng.choice(centres)]) for i in range(900)] + [(900, None), (901, []), (None, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 10 = 0")
+    exact = {(r.query, r.vec_id) for r in vectors.nearest_of_each(asked, df, 5, block=7).collect()}
+    index = vectors.CellIndex(df, 16)
+    assert index.rows.count() == 900
+    found = {(r.query, r.vec_id) for r in index.nearest(asked, 5, 5).collect()}
+    assert len(exact) == 450 and len(found & exact) >= 0.9 * len(exact)
+    assert {(r.query, r.vec_id) for r in index.nearest(asked, 5, 16).collect()} == exact
+    near = {(r.query, r.vec_id) for r in vectors.within_of_each(asked, df, 2.0, block=50).collect()}
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
+    assert near == {(i, j) for i, v in rows[:900] if i % 10 == 0 for j, w in rows[:900] if i != j and dist(v, w) <= 2.0}
+
+
+def test_functions_for_plain_sql(spark):
+    from spanloom.functions.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT ulid_from_hex('0123456789abcdef0123456789abcdef') AS a, ulid_from_bytes(X'FF') AS b, l2_distance(array(0D, 3D), array(4D, 0D)) AS c, text_tokens('A b_c,é') AS d, text_has('out of Memory', 'memory') AS e, json_path_eq('{\"a\":{\"b\":1}}', 'a.b', '1') AS f, json_path_number('{\"a\":\"x\"}', 'a') AS g, nanos_to_ms('1999999') AS h").first()
+    assert r.a == spark.range(1).select(scalars.hex_to_ulid(F.lit("0123456789abcdef0123456789abcdef"))).first()[0]
+    assert (r.b, r.c, r.d, r.e, r.f, r.g, r.h) == ("0" * 24 + "7Z", 5.0, ["a", "b", "c", "é"], True, True, None, 1)
+
+
 def test_filters_and_columns_reach_the_scan(spark, spans, tmp_path):
     spans.write.parquet(f"{tmp_path}/p")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
@@ -149,4 +211,15 @@ def test_filters_and_columns_reach_the_scan(spark, spans, tmp_path):
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and not any(n.startswith('op1') for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
+    code += "; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()"
+    code += f"; d = {str(DATA)!r}; import os; assert not os.path.isdir(d) or (e.entry(s).count() > 0 and e.queries()['store_compaction'](s, d).count() > 0)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True)
+
+
+def test_a_fault_within_the_operators_is_not_taken_for_their_absence(tmp_path):
+    if not (ROOT / "spanloom" / "llm").is_dir():
+        pytest.skip("without the training-data operators")
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "r" / "spanloom" / "llm" / "queries.py").write_text("import no_such_module\n")
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path / "r", capture_output=True, text=True)
+    assert done.returncode and "no_such_module" in done.stderr
