@@ -64,10 +64,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The tables written in the shared folder, in order.
+WRITTEN: list[str] = []
+
+
+def remove_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the tables written since ``mark`` tables had been, but for ``keep``."""
+    for path in WRITTEN[mark:]:
+        if path != keep:
+            remove(spark, path)
+    WRITTEN[mark:] = [keep]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

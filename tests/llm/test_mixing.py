@@ -119,3 +119,18 @@ def test_the_registered_query_and_stage_keep_all(spark, documents, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in queries.op10_source_mixing(spark, str(tmp_path)).collect()) == list(range(900))
     assert sorted(r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()) == list(range(900))
+
+
+@pytest.mark.parametrize("counts", [{"a": 1_000_000, "b": 1}, {f"big{i}": 1_000_000 for i in range(5)} | {f"tiny{i}": 1 for i in range(100)}])
+def test_rare_sources_end_nothing(counts):
+    """By the schedule's arithmetic: every block of every source has a slot of its own, without gaps."""
+    blocks = {s: -(-n // M.BLOCK) for s, n in counts.items()}
+    period = max(M.PERIOD, 10 * len(counts))
+    had, end = dict.fromkeys(blocks, 0), 0
+    for start, taken in M.phases(blocks, {s: n**M.ALPHA for s, n in counts.items()}, period):
+        assert start == end
+        for s, (first, n, own, at) in taken.items():
+            assert first == had[s] and own >= len(at) > 0
+            had[s] += n
+        end += sum(n for _, n, _, _ in taken.values())
+    assert had == blocks and end == sum(blocks.values())

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from spanloom.llm import quality_cnn, sharding
+from spanloom.llm import quality_cnn, shared, sharding
 from spanloom.llm.shared import stored, text_buffer
 
 from tests.llm.conftest import DOCS
@@ -58,7 +58,11 @@ def test_stages(spark, prose, words, tmp_path):
     assert [r[:5] for r in shards[2]] == [tuple(r) for r in shards[1]]
     in_turn = sorted(shards[2], key=lambda r: (r.hilbert, r.doc_id))
     assert [r.shard for r in in_turn] == [i // sharding.SHARD_ROWS for i in range(len(in_turn))]
+    before = len(shared.WRITTEN)
     assert len(P.run(spark, str(tmp_path)).collect()) == len(shards[2])
+    # of the stages before the last only the table that it reads is left
+    left = [p for p in shared.WRITTEN[before:] if "/stage-" in p]
+    assert len(left) == 1 and not any(kind in p for p in shared.WRITTEN[before:] for kind in ("groups", "labelled", "buckets"))
 
 
 KEEPS = {  # doc_ids of the odd rows that each stage keeps, 0 for null
