@@ -21,7 +21,7 @@ from .shared import gathered, lowered, text_buffer, tune
 #: Words that a match must have; a shorter item must be matched whole. Items under LEAST_WORDS are left out; by default none is.
 MATCH_WORDS, LEAST_WORDS = 13, 1
 #: Bytes of text in a shard. A longer document is cut into pieces that overlap by the words of the longest item.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Bytes of benchmark that a task holds at once; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
 #: Runs of words are compared by polynomials modulo two primes.
