@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     of doc_id, then by doc_id and text, so blocks are random samples that any run repeats.
 
     ``weights``: by source; None takes each count to the power ALPHA. Sources with a weight of 0 or without one are left out; a weighted source without
-    documents is left out too and the rest share its part. ``period`` is raised to ten slots a source where it is less. A null source is the source "". Rows that repeat are documents of their own. Null doc_ids and texts sort first. An empty table
+    documents is left out too and the rest share its part. ``period`` is raised to ten slots a source where it is less. A null source is the source "". Rows that repeat are documents of their own. Null doc_ids and texts sort first; texts of any length pass as they are. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession

@@ -135,6 +135,83 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
     return joined.mapInArrow(similarities(n, threshold), EDGE)
 
 
+#: Documents of a block: pairs of large components are verified in tiles of two blocks each, small components together in tiles of about as many documents.
+BLOCK = 64
+#: Cells of a tile's table of documents and grams that are held at once.
+CELLS = 1 << 22
+#: Pairs for each document from which on a tile's intersections are counted by a product of tables.
+DENSE = 8
+
+
+def tiled(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, like ``verified``, where pairs are many more than documents.
+
+    The components of the candidate pairs are cut into blocks by a hash; the pairs of two blocks are a tile, which is verified by one task. A text goes
+    to as many tiles as its component has blocks, in place of once for each pair, and its set is made once for each tile.
+    """
+    spark = pairs.sparkSession
+    found = components(pairs)
+    ids = found.unionByName(found.select(F.col("root").alias("doc_id"), "root")).distinct()
+    sizes = ids.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    block = stored(ids.join(sizes, "root").select("doc_id", "root", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block")), "blocks")
+    remove(spark, found.stored_at)
+    small = max(block.filter("blocks = 1").count() // BLOCK, 1)
+    left, right = (block.select(F.col("doc_id").alias(c), F.col("block").alias(f"{c}_block"), *(["root", "blocks"] if c == "a" else [])) for c in "ab")
+    place = F.xxhash64("root", F.least("a_block", "b_block"), F.greatest("a_block", "b_block"))
+    placed = stored(pairs.join(left, "a").join(right, "b").select(F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(place).alias("tile"), "a", "b"), "tiles")
+    members = placed.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # few ids go to every task as a filter, so that no other texts are shuffled
+    if block.count() <= FEW_IDS:
+        texts = texts.join(F.broadcast(block.select("doc_id")), "doc_id", "left_semi")
+    held = members.join(texts, "doc_id").select("of", "doc_id", "text")
+    tile = tile_similarities(n, threshold)
+    return placed.groupBy("tile").cogroup(held.groupBy("of")).applyInArrow(tile, EDGE)
+
+
+def tile_similarities(n: int, threshold: float):
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        ids = np.asarray(texts.column("doc_id"))
+        order = np.argsort(ids)
+        ids = ids[order]
+        raw, offsets = text_buffer(texts.column("text").take(pa.array(order)))
+        starts, ends, first = W.spans(raw, offsets)
+        g, bounds = W.grams(W.word_hashes(raw, starts, ends, W.Powers()), first, n)
+        # 20 bits name the document within the tile, 44 are the gram's
+        keys = unique((np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(bounds)) << W.U(44)) | (g >> W.U(20)))
+        doc, gram = (keys >> W.U(44)).astype(np.int64), keys & W.U((1 << 44) - 1)
+        size = np.bincount(doc, minlength=len(ids))
+        start = np.concatenate(([0], np.cumsum(size)))
+        a, b = (np.searchsorted(ids, np.asarray(pairs.column(c))) for c in "ab")
+        both = np.zeros(len(a), np.int64)
+        if len(a) > DENSE * len(ids):
+            _, column = np.unique(gram, return_inverse=True)
+            wide = int(column.max(initial=-1)) + 1
+            step = max(CELLS // len(ids), 1)
+            turn = np.argsort(column, kind="stable")
+            edge = np.searchsorted(column[turn], np.arange(0, wide + step, step))
+            total = np.zeros((len(ids), len(ids)), np.float32)
+            for low, high, at in zip(edge[:-1], edge[1:], range(0, wide, step), strict=False):
+                part = turn[low:high]
+                table = np.zeros((len(ids), min(step, wide - at)), np.float32)
+                table[doc[part], column[part] - at] = 1
+                total += table @ table.T
+            both = total[a, b].astype(np.int64)
+        else:
+            for at in range(0, len(a), 4096):
+                x, y = a[at : at + 4096], b[at : at + 4096]
+                many = size[x]
+                pair = np.repeat(np.arange(len(x)), many)
+                base = np.concatenate(([0], np.cumsum(many)))
+                own = gram[np.repeat(start[x] - base[:-1], many) + np.arange(base[-1])] | (y[pair].astype(np.uint64) << W.U(44))
+                hit = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                both[at : at + 4096] = np.bincount(pair[keys[hit] == own] if len(own) else pair, minlength=len(x))
+        j = both / np.maximum(size[a] + size[b] - both, 1)
+        ok = pa.array(j >= threshold)
+        return pa.table({"doc_id": pairs.column("a").filter(ok), "partner_id": pairs.column("b").filter(ok), "jaccard": pa.array(j).filter(ok)})
+
+    return run
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(doc_id, root) from links to smaller ids, one for each document, by pointer jumping."""
     spark = links.sparkSession
@@ -219,7 +296,7 @@ def ngram_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     pairs = buckets.withColumnRenamed("doc_id", "a").join(other, ["company", "members"]).filter("a < b").filter(fits).select("a", "b").distinct()
     pairs = stored(pairs, "pairs")
     remove(spark, buckets.stored_at)
-    edges = stored(verified(pairs, texts, n, threshold), "links")
+    edges = stored(tiled(pairs, texts, n, threshold), "links")
     remove(spark, pairs.stored_at)
     root = components(edges.select(F.col("doc_id").alias("a"), F.col("partner_id").alias("b")))
     ends = edges.unionByName(edges.select(F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), "jaccard"))

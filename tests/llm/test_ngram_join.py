@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from spanloom.llm import ngram_join as J
 from spanloom.llm.licenses import WORD
 
@@ -131,3 +132,17 @@ def test_no_text_is_lost_for_a_repeated_or_missing_id(documents, prose):
     kept = sorted((r.doc_id or 0, r.text or "") for r in J.one_of_each_group(documents(rows)).collect())
     assert kept == sorted([(1, ""), (1, prose(1, 50)), (3, prose(2, 50)), (3, prose(3, 50)), (0, prose(4, 50)), (0, ""), (4, "")])
     assert {r.doc_id for r in J.ngram_join(documents(rows)).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize(("block", "dense", "cells"), [(64, 8, 1 << 22), (5, 0, 100), (5, 10**9, 1 << 22)])
+def test_tiles_give_what_pairs_give(spark, documents, prose, words, monkeypatch, block, dense, cells):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "DENSE", dense)
+    monkeypatch.setattr(J, "CELLS", cells)
+    rows = [(g * 100 + k, edited(prose(g, 80), 0.04 * k, g * 100 + k, words)) for g in range(4) for k in range(2 + 7 * g)] + [(900, ""), (901, "a b"), (902, "a b")]
+    texts = documents(rows).select("doc_id", "text")
+    ids = [i for i, _ in rows]
+    pairs = spark.createDataFrame([(a, b) for a, b in itertools.combinations(ids, 2) if a // 100 == b // 100], "a long, b long")
+    got = {(r.doc_id, r.partner_id): r.jaccard for r in J.tiled(J.stored(pairs, "pairs"), texts, J.N, J.THRESHOLD).collect()}
+    want, _ = brute(rows)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
