@@ -50,7 +50,9 @@ def with_commits(spans: DataFrame, base: int) -> DataFrame:
     rows of its tenant and partition in the ranges before: no task gets a whole tenant.
     """
     order = ["tenant_id", "partition_id", *SORT_KEY]
-    run = stored(spans.drop("commit_id").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    # written first, as choosing the ranges reads the rows once more
+    spans = stored(spans.drop("commit_id"), "spans")
+    run = stored(spans.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     # the range in the upper bits, the place in it in the lower 33
     part = F.shiftright("__at", 33)
     counts = run.groupBy("tenant_id", "partition_id", part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))

@@ -32,6 +32,12 @@ def _id(c: str) -> Column:
     return F.when(F.upper(F.col(c)).rlike(_ULID), F.upper(F.col(c))).otherwise(made)
 
 
+def _parsed(requests: DataFrame, column: str, shape: T.StructType | str) -> DataFrame:
+    """(body, r): each request as parsed. It goes through a list of one, as else filters on it would be moved below and parse it once for each mention."""
+    body = F.col(column).cast("string")
+    return requests.select(body.alias("body"), F.explode(F.array(F.from_json(body, shape, {"columnNameOfCorruptRecord": "__bad"}))).alias("r"))
+
+
 def _requests(requests: DataFrame, column: str) -> DataFrame:
     """(body, r, reason): each request as parsed, and why it is refused, if it is."""
     fields = [f for f in SPANS_SCHEMA if f.name not in ("tenant_id", "partition_id", "commit_id", "metadata")]
@@ -39,7 +45,7 @@ def _requests(requests: DataFrame, column: str) -> DataFrame:
         T.StructField("tenant_id", T.LongType()), T.StructField("partition_id", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("metadata", T.StringType())]))), T.StructField("__bad", T.StringType()),
     ])
-    r = requests.select(F.col(column).cast("string").alias("body")).withColumn("r", F.from_json("body", shape, {"columnNameOfCorruptRecord": "__bad"}))
+    r = _parsed(requests, column, shape)
     lacks = F.exists("r.spans", lambda s: s.isNull() | s["start_time_ms"].isNull() | s["end_time_ms"].isNull())
     reason = F.when(F.col("body").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull(), "malformed").when(F.col("r.tenant_id").isNull(), "no tenant_id").when(F.col("r.spans").isNull(), "no spans")
     return r.withColumn("reason", reason.when(F.size("r.spans") > MOST_SPANS, "too many spans").when(lacks, "a span without start or end"))
@@ -101,7 +107,7 @@ def attributes_json(attributes: Column) -> Column:
 
 
 def _otlp(requests: DataFrame, column: str) -> DataFrame:
-    r = requests.select(F.col(column).cast("string").alias("body")).withColumn("r", F.from_json("body", OTLP, {"columnNameOfCorruptRecord": "__bad"}))
+    r = _parsed(requests, column, OTLP)
     bad = F.col("body").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull()
     return r.withColumn("reason", F.when(bad, "malformed").when(F.col("r.resourceSpans").isNull(), "no resourceSpans"))
 
