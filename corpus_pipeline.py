@@ -1,6 +1,7 @@
 """From raw documents to training shards: quality, near copies, benchmark leaks, mixture, order.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents.
+The mixture is handed on as the order in which the rows of its table lie; the shards follow it.
 
 In all stages documents may have more columns than those of the table documents, of any names but doc_id, text, lang, source and n_chars, which
 are these whatever their case; they pass through. An empty table gives an empty result. Texts are read whole, however long.
@@ -44,19 +45,19 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each source's in turn as the schedule gives them slots; a null source is a source.
+    """All documents, lying in the order of the schedule's slots, which take each source in turn; a null source is a source.
 
     Rows that repeat are documents of their own; ties of the order within a source go by doc_id and text. Rows aren't removed.
     """
-    return same_columns(mixing.mixed(docs, whole=True), docs)
+    return same_columns(mixing.mixed(docs, whole=True, ordered=True), docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the curve, with ``hilbert`` and ``shard`` (with underscores in front where these names are taken).
+    """The documents with ``hilbert`` and ``shard`` (with underscores in front where these names are taken): windows of the order in which they lie, the mixture's, each cut into shards along the curve.
 
     Null lang and source are values of their own, a null n_chars counts as 0 and a null doc_id sorts first; ties go by doc_id and text.
     """
-    return sharding.sharded(docs)
+    return sharding.sharded_in_windows(docs)
 
 
 STAGES = [

@@ -29,6 +29,8 @@ BLOCK = 4
 ALPHA = 0.7
 #: Slots of all phases that are sent to every task, some 4 MB; longer periods are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Files at most of a mixture that lies in order.
+MOST_FILES = 100_000
 
 
 def quantised(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -104,7 +106,7 @@ def source_counts(docs: DataFrame) -> dict[str, int]:
     return {r["s"]: r["count"] for r in counts.toLocalIterator()}
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, whole: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, whole: bool = False, ordered: bool = False) -> DataFrame:
     """The mixture: ``docs`` in the schedule, all of them if ``whole``, else up to the slot at which a source first lacks the full block that is due.
 
     All columns stay and ``slot`` is added (with underscores in front where the name is taken): the place of the document's block in
@@ -115,6 +117,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     ``weights``: by source; None takes each count to the power ALPHA. Sources with a weight of 0 or without one are left out; a weighted source without
     documents is left out too and the rest share its part. ``period`` is raised to ten slots a source where it is less. A null source is the source "". Rows that repeat are documents of their own. Null doc_ids and texts sort first; texts of any length pass as they are. An empty table
     gives an empty result.
+
+    ``ordered``: the rows lie in the order of the slots, within a slot by doc_id and text, so a table written from them holds the mixture from its first file to its last.
     """
     spark = docs.sparkSession
     slot = free_name(docs, "slot")
@@ -137,6 +141,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     at = F.col("block") - F.col("first")
     placed = joined.filter((at >= 0) & (at < F.col("blocks")))
     placed = placed.select("d", (F.col("start") + F.floor(at / F.col("own")) * F.lit(period) + F.element_at("slots", (at % F.col("own") + 1).cast("int"))).cast("long").alias("slot"))
+    if ordered:
+        # slots have no gaps; equal numbers of them are one partition each
+        slots = sum(r[3] for r in rows)
+        many = min(max(slots * block // RANGE_ROWS, 2 * spark.sparkContext.defaultParallelism), MOST_FILES)
+        placed = placed.repartitionById(many, F.expr(f"int(slot * {many} div {slots})")).sortWithinPartitions("slot", "d.doc_id", "d.text")
     return placed.select("d.*", F.col("slot").alias(slot))
 
 

@@ -8,11 +8,12 @@ shards by the least and largest values of any of them.
 from __future__ import annotations
 
 from functools import cache
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, stored
+from .shared import free_name, is_parquet, stored
 
 BITS = 5
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
@@ -20,6 +21,8 @@ DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
 FEW_VALUES = 250_000
 #: Documents of a shard.
 SHARD_ROWS = 2_000
+#: Shards of a window at most: the curve halves a window some four times, about once in each dimension.
+WINDOW_SHARDS = 16
 
 
 def hilbert_of(point: list[int], bits: int) -> int:
@@ -123,14 +126,14 @@ def ranked(pairs: DataFrame, column: str, out: str) -> DataFrame:
     return values.select("v", (F.row_number().over(order) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n")).select("v", F.expr(f"int(r * {1 << BITS} div n)").alias(out))
 
 
-def coordinates(docs: DataFrame) -> DataFrame:
-    """(d, i, n, q0..q3): each row as a struct, its doc_id and n_chars, and its quantised lang, source, n_chars and doc_id. The statistics take one pass over these four columns."""
+def coordinates(docs: DataFrame, **more: Column) -> DataFrame:
+    """(d, i, n, q0..q3, more): each row as a struct, its doc_id and n_chars, and its quantised lang, source, n_chars and doc_id. The statistics take one pass over these four columns."""
     keys = {"l": F.col("lang").cast("string"), "s": F.col("source").cast("string"), "n": F.col("n_chars").cast("long"), "i": F.col("doc_id").cast("long")}
     pairs = stored(docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy("l", "s").agg(F.min("i").alias("a"), F.max("i").alias("b")), "pairs")
     ends = pairs.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
     low, high = (ends.a or 0, ends.b or 0)
     lengths = F.expr(f"array({','.join(map(str, LENGTHS))})")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[c.alias(k) for k, c in keys.items()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), *[c.alias(k) for k, c in (keys | more).items()])
     for column, out in (("l", "q0"), ("s", "q1")):
         ranks = stored(ranked(pairs, column, out), "ranks")
         # few values go to every task; a shuffle would send all rows of a hot value to one
@@ -140,7 +143,7 @@ def coordinates(docs: DataFrame) -> DataFrame:
     low_, span = wide(f"'{low}'"), wide(f"'{high - low + 1}'")
     return rows.select(
         "d", "i", "n", "q0", "q1", F.size(F.filter(lengths, lambda t: t <= F.coalesce(F.col("n"), F.lit(0)))).alias("q2"),
-        F.expr(f"int((coalesce({wide('i')}, {low_}) - {low_}) * {1 << BITS} div {span})").alias("q3"),
+        F.expr(f"int((coalesce({wide('i')}, {low_}) - {low_}) * {1 << BITS} div {span})").alias("q3"), *more,
     )
 
 
@@ -203,15 +206,75 @@ def sharded(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     table, many = ranges(placed, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     above = F.size(F.filter("cuts", lambda x: F.col("i") > x))
     cut = placed.join(F.broadcast(table), "h").select("d", "i", "h", (F.col("first") + F.when(F.size("cuts") > 0, above).otherwise(0)).alias("range"))
+    return runs(cut, many, ["h", "i", "d.text"], shard_rows).select("d.*", F.col("h").alias(h), F.col("shard").alias(shard))
+
+
+def runs(cut: DataFrame, many: int, order: list[str], shard_rows: int) -> DataFrame:
+    """(d, h, shard): the rows in ``order``, which their ``range`` of ``many`` follows, and the number of the run of each."""
     # each range is one partition, in order
-    order = cut.repartitionById(many, F.col("range")).sortWithinPartitions("h", "i", "d.text").drop("i", "range")
+    ordered = cut.repartitionById(many, F.col("range")).sortWithinPartitions(*order).select("d", "h")
     # the number of a sorted row: its partition in the upper bits, its place in the partition in the lower 33
-    run = stored(order.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    run = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = run.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return run.withColumn("part", part).join(F.broadcast(starts), "part").select("d.*", F.col("h").alias(h), F.floor(place / F.lit(shard_rows)).cast("long").alias(shard))
+    return run.withColumn("part", part).join(F.broadcast(starts), "part").select("d", "h", F.floor(place / F.lit(shard_rows)).cast("long").alias("shard"))
+
+
+def file_starts(docs: DataFrame) -> DataFrame:
+    """(file, rows, start) of each file of a Parquet table: its rows and those of all files before it, in the order in which Spark numbers the files it writes, others by name."""
+    files = docs.groupBy(docs.metadataColumn("_metadata")["file_path"].alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    number = F.expr(r"try_cast(regexp_extract(file, r'/part-(\d+)[^/]*$', 1) AS bigint)")
+    return files.withColumn("start", F.coalesce(F.sum("rows").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def window_ranges(placed: DataFrame, fewest: int) -> tuple[DataFrame, int]:
+    """(window, bounds) and how many ranges there are: ranges follow the windows, and the curve within each, and hold about equal numbers of characters.
+
+    ``bounds`` has the first (key, range) of each range in the window, in order. Rows of one key aren't split.
+    """
+    sized = placed.select("window", window_key().alias("key"), (F.greatest(F.coalesce("n", F.lit(0).cast("long")), F.lit(0)) + F.lit(ROW_CHARS)).cast("double").alias("w"))
+    sizes = stored(sized.groupBy("window").agg(F.sum("w").alias("w")), "windows")
+    total = sizes.agg(F.sum("w")).first()[0] or 0.0
+    share = max(min(RANGE_CHARS, total / fewest), total / MOST_RANGES, 1.0)
+    preceding = lambda order: F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = sizes.select("window", preceding(Window.orderBy("window")).alias("start"))
+    along = sized.withColumn("before", preceding(Window.partitionBy("window").orderBy("key"))).join(F.broadcast(starts), "window")
+    firsts = along.groupBy("window", F.floor((F.col("start") + F.col("before")) / share).cast("int").alias("range")).agg(F.min("key").alias("key"))
+    table = stored(firsts.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("key", "range"))).alias("bounds")), "bounds")
+    many = table.agg(F.max(F.element_at("bounds", -1)["range"]) + 1).first()[0] or 1
+    return table, many
+
+
+def window_key() -> Column:
+    """The order within a window; a null doc_id comes first."""
+    return F.struct("h", F.col("i").isNotNull().alias("some"), F.coalesce("i", F.lit(0).cast("long")).alias("i"))
+
+
+def sharded_in_windows(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``sharded``, one window of rows after the other: the order in which ``docs`` lie decides the window of a row, the curve its shard in the window.
+
+    A table of a mixture so gives shards that keep it: window after window holds its share of each source. A window is ``WINDOW_SHARDS`` shards, in smaller
+    tables fewer, about as many as there are windows, so that both orders count. ``shard`` numbers the runs of ``shard_rows`` documents by window, hilbert,
+    doc_id and text; no shard is in two windows. The curve is that of all documents.
+
+    The order is that of a Parquet table's files, as Spark numbers those it writes, and of the rows in them; other ``docs`` are written first, in the order of
+    their partitions. All else is as in ``sharded``.
+    """
+    if not is_parquet(docs):
+        docs = stored(docs, "rows")
+    h, shard = free_name(docs, "hilbert"), free_name(docs, "shard")
+    files = stored(file_starts(docs), "files")
+    rows = files.agg(F.sum("rows")).first()[0] or 0
+    window_rows = max(min(isqrt(-(-rows // shard_rows)), WINDOW_SHARDS), 1) * shard_rows
+    at = docs.metadataColumn("_metadata")
+    placed = coordinates(docs, file=at["file_path"], row=at["row_index"]).join(F.broadcast(files.drop("rows")), "file")
+    placed = placed.select("d", "i", "n", curve_index([F.col(f"q{i}") for i in range(4)], BITS).alias("h"), F.expr(f"(start + row) div {window_rows}").alias("window"))
+    table, many = window_ranges(placed, TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    keyed = placed.withColumn("key", window_key()).join(F.broadcast(table), "window")
+    cut = keyed.select("d", "i", "h", "window", F.element_at(F.filter("bounds", lambda b: b["key"] <= F.col("key")), -1)["range"].alias("range"))
+    return runs(cut, many, ["window", "h", "i", "d.text"], shard_rows).select("d.*", F.col("h").alias(h), F.col("shard").alias(shard))
 
 
 def manifest(shards: DataFrame, shard: str = "shard") -> DataFrame:

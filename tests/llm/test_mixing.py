@@ -121,6 +121,15 @@ def test_the_registered_query_and_stage_keep_all(spark, documents, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()) == list(range(900))
 
 
+def test_an_ordered_mixture_lies_in_its_order(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_ROWS", 64)
+    docs = documents([(i, "t", "en", "hot" if i % 7 else f"s{i % 2}", 1) for i in range(1_803)])
+    M.mixed(docs, whole=True, ordered=True).write.parquet(f"{tmp_path}/t")
+    files = sorted(tmp_path.glob("t/part-*"))
+    got = [(r.slot, r.doc_id) for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert len(files) == 28 and got == sorted((r.slot, r.doc_id) for r in M.mixed(docs, whole=True).collect())
+
+
 @pytest.mark.parametrize("counts", [{"a": 1_000_000, "b": 1}, {f"big{i}": 1_000_000 for i in range(5)} | {f"tiny{i}": 1 for i in range(100)}])
 def test_rare_sources_end_nothing(counts):
     """By the schedule's arithmetic: every block of every source has a slot of its own, without gaps."""

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from spanloom.llm import quality_cnn, shared, sharding
+from spanloom.llm import mixing, quality_cnn, shared, sharding
 from spanloom.llm.shared import stored, text_buffer
 
 from tests.llm.conftest import DOCS
@@ -103,3 +103,24 @@ def test_empty_tables_in_every_stage(spark, odd, tmp_path):
     assert P.good_quality(spark, odd, at).count() == P.benchmark_leaks(spark, odd, at).count() == odd.count()
     empty.write.parquet(f"{at}/documents.parquet")
     assert P.run(spark, at).count() == 0
+
+
+def test_the_shards_follow_the_mixture(spark, documents, tmp_path):
+    rows = [(i, "t", "en" if i % 3 else "de", "hot" if i % 9 else f"rare{i % 2}", i % 50) for i in range(9_001)]
+    docs = documents(rows)
+    slots = {r.doc_id: r.slot for r in mixing.mixed(docs, whole=True).collect()}
+    # five shards, two in a window
+    turn, window = sorted(slots, key=lambda i: (slots[i], i)), 2 * sharding.SHARD_ROWS
+    got = P.shards(spark, stored(P.mixture(spark, docs, str(tmp_path)), "test"), str(tmp_path)).collect()
+    for k in range(3):
+        own = sorted((r for r in got if r.shard // 2 == k), key=lambda r: (r.hilbert, r.doc_id))
+        assert sorted(r.doc_id for r in own) == sorted(turn[k * window : (k + 1) * window])
+        assert [r.shard for r in own] == [2 * k + i // sharding.SHARD_ROWS for i in range(len(own))]
+    # the target weights, within a block, as long as every source has documents
+    weights = {"hot": 8_000**mixing.ALPHA, "rare0": 501**mixing.ALPHA, "rare1": 500**mixing.ALPHA}
+    for s, w in weights.items():
+        n = sum(r.source == s for r in got if r.shard < 2) / mixing.BLOCK
+        assert abs(n - window / mixing.BLOCK * w / sum(weights.values())) < 1.2
+    # without it, other documents share a window
+    plain = P.shards(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in plain if r.shard < 2} != {r.doc_id for r in got if r.shard < 2}

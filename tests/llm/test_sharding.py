@@ -72,3 +72,22 @@ def test_ranges_by_characters_keep_the_order(documents, chars, monkeypatch):
     assert firsts == sorted(firsts) and many >= min(3 * 10**5 // max(chars, 1), 20)
     for a, b in itertools.pairwise(found):
         assert b["first"] >= a["first"] + len(a["cuts"]) and a["cuts"] == sorted(a["cuts"])
+
+
+@pytest.mark.parametrize("chars,files", [(10_000, 13), (10**9, 1)])
+def test_windows_follow_the_rows_of_the_table(spark, chars, files, monkeypatch, tmp_path):
+    monkeypatch.setattr(H, "RANGE_CHARS", chars)
+    rows = [(i * i % 7919, f"t{i % 3}", "en", "hot" if i % 3 else f"s{i % 5}", 10 if i % 9 else 4000) for i in range(1000)]
+    rows += [(None, f"n{i}", "en", "hot", 10) for i in range(30)] + [(8000 + i, None, None, None, None) for i in range(5)]
+    # files of different sizes, which Spark doesn't read in their order
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", k int")
+    docs.repartitionById(files, H.F.expr(f"int(sqrt(k) * {files} / 33)")).sortWithinPartitions("k").write.parquet(f"{tmp_path}/t")
+    out = H.sharded_in_windows(spark.read.parquet(f"{tmp_path}/t"), 20).collect()
+    plain = {r.k: r.hilbert for r in H.sharded(docs, 20).collect()}
+    low = lambda r: (r.hilbert, r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")
+    assert len(out) == len(rows) and all(r.hilbert == plain[r.k] for r in out)
+    # 52 shards, seven in a window
+    for w in range(8):
+        own = sorted((r for r in out if r.k // 140 == w), key=low)
+        assert sorted(r.shard for r in own) == [w * 7 + i // 20 for i in range(len(own))]
+        assert [low(r) for r in sorted(own, key=lambda r: (r.shard, *low(r)))] == [low(r) for r in own]
