@@ -12,7 +12,7 @@ from ..functions.sql import register
 from ..operators import aggregates, lifecycle, vectors
 from ..sources import ingest
 from ..sources.events import SPANS_SQL, spans, spans_of, table, with_parent
-from ..sources.shared import new_path
+from ..sources.shared import new_path, stored
 from ..sources.storage import SpanStore
 from ..streaming import spans as streams
 from .dialect import Engine
@@ -381,7 +381,8 @@ def knn_index(s, d):
     own = table(s, d, "embeddings")
     exact = vectors.nearest_of_each(_asked(s, d), own, 10)
     found = vectors.CellIndex(own, 32).nearest(_asked(s, d), 10, 26)
-    met = found.select("query", "vec_id", "place").join(exact.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    # written, as the recall and the counts both read it
+    met = stored(found.select("query", "vec_id", "place").join(exact.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left"), "met")
     recall = met.agg((F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("recall_reached"))
     return met.groupBy("query").agg(F.count(F.lit(1)).cast("int").alias("found")).crossJoin(F.broadcast(recall))
 

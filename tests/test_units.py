@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,31 @@ def test_index_of_cells(spark):
     assert near == {(i, j) for i, v in rows[:900] if i % 10 == 0 for j, w in rows[:900] if i != j and dist(v, w) <= 2.0}
 
 
+@pytest.mark.parametrize(("far", "probes"), [(0, 3), (3e5, 8)])
+def test_index_makes_no_pairs_of_rows(spark, far, probes):
+    """Tasks give k rows a query, so nothing grows with queries times vectors; far from the origin, where products lose digits, and with ties, results are those of plain loops."""
+    rng = random.Random(8)
+    rows = [(i, [far + rng.gauss(0, 1e-3 if far else 1) for _ in range(5)]) for i in range(700)]
+    rows += [(700 + i, rows[i % 3][1]) for i in range(60)] + [(760, None), (761, []), (None, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 9 = 0")
+    index = vectors.CellIndex(df, 8)
+    plan = index.nearest(asked, 4, probes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    cell = {r.key: r.cell for r in index.rows.collect()}
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5
+    order = lambda i, keep: [j for _, j in sorted((dist(rows[i][1], w), j) for j, w in rows[:760] if j != i and keep(j))[:4]]
+    exact, found = {}, {}
+    for r in vectors.nearest_of_each(asked, df, 4, block=11).orderBy("place").collect():
+        exact.setdefault(r["query"], []).append(r.vec_id)
+    for r in index.nearest(asked, 4, probes, block=11).orderBy("place").collect():
+        found.setdefault(r["query"], []).append(r.vec_id)
+    assert sorted(exact) == sorted(found) == list(range(0, 760, 9))
+    for i in exact:
+        asks = sorted(range(len(index.centroids)), key=lambda c: (vectors.distances(np.array([rows[i][1]]), index.centroids)[0][c], c))[:probes]  # noqa: B023
+        assert exact[i] == order(i, lambda j: True) and found[i] == order(i, lambda j: cell[j] in asks)  # noqa: B023
+
+
 def test_functions_for_plain_sql(spark):
     from spanloom.functions.sql import register
 
