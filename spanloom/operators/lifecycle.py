@@ -84,10 +84,17 @@ def children(spans: DataFrame) -> DataFrame:
 
 
 def subtree(spans: DataFrame, root: str, tenant_id: int, depth: int = 64) -> DataFrame:
-    """(span_id, depth) of all spans under ``root``, level by level; ends where a level is empty."""
-    own = spans.filter(F.col("tenant_id") == tenant_id).select("span_id", "parent_span_id")
-    spark = spans.sparkSession
-    return spark.sql(
-        f"WITH RECURSIVE t(span_id, depth) MAX RECURSION LEVEL {int(depth)} AS (SELECT span_id, 0 FROM {{s}} WHERE span_id = :root UNION ALL SELECT s.span_id, depth + 1 FROM {{s}} s JOIN t ON s.parent_span_id = t.span_id) SELECT * FROM t",
-        args={"root": root}, s=own,
-    )
+    """(span_id, depth) of all spans under ``root``, level by level; ends where a level is empty, and fails beyond ``depth`` levels.
+
+    The edges are written once and every level reads them, so what ``spans`` takes is paid once whatever the depth. A level is written too: any number of spans may be on it.
+    """
+    own = stored(spans.filter(F.col("tenant_id") == tenant_id).select("span_id", "parent_span_id"), "edges")
+    level = stored(own.filter(F.col("span_id") == root).select("span_id", F.lit(0).alias("depth")), "level")
+    found, at = level, 0
+    while not level.isEmpty():
+        at += 1
+        level = stored(own.join(level.select(F.col("span_id").alias("parent_span_id")), "parent_span_id").select("span_id", F.lit(at).alias("depth")), "level")
+        if at > depth and not level.isEmpty():
+            raise ValueError(f"more than {depth} levels under {root}")
+        found = found.unionByName(level)
+    return found

@@ -651,11 +651,14 @@ def interval_join(s, d):
 )
 def trace_subtree(s, d):
     """All spans below the first span of a trace, with their depth; the k-th span of a trace has the k/2-th as its parent here."""
-    k = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ms", "span_id"))
-    own = spans(s, d).select("tenant_id", "trace_id", "span_id", k.alias("k"))
-    parents = own.select("trace_id", F.col("k").alias("above"), F.col("span_id").alias("parent_span_id"))
-    tree = own.withColumn("above", F.floor(F.col("k") / 2).cast("int")).join(parents, ["trace_id", "above"], "left")
-    root = own.filter("tenant_id = 1 AND k = 1").orderBy("span_id").select("span_id").first()
+    own = spans(s, d).filter("tenant_id = 1").select("tenant_id", "trace_id", "span_id", "start_time_ms")
+    # one aggregate finds the trace; only its spans are numbered and joined
+    firsts = own.groupBy("trace_id").agg(F.min_by("span_id", F.struct(F.isnull("start_time_ms"), "start_time_ms", F.isnull("span_id"), "span_id")).alias("span_id"))
+    root = firsts.filter("span_id is not null").orderBy("span_id", "trace_id").first()
+    k = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.asc_nulls_last("start_time_ms"), F.asc_nulls_last("span_id")))
+    trace = stored(own.filter(F.col("trace_id") == (root.trace_id if root else "")).select("tenant_id", "span_id", k.alias("k")), "trace")
+    parents = trace.select(F.col("k").alias("above"), F.col("span_id").alias("parent_span_id"))
+    tree = trace.withColumn("above", F.floor(F.col("k") / 2).cast("int")).join(parents, "above", "left")
     return lifecycle.subtree(tree, root.span_id if root else "", 1)
 
 

@@ -1,3 +1,4 @@
+import contextlib
 import json
 import random
 import shutil
@@ -20,6 +21,16 @@ ROOT = Path(__file__).resolve().parents[1]
 DATA = Path("/root/testdata/sf0.001")
 
 
+@contextlib.contextmanager
+def limited(spark, key, value):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.fixture(scope="module")
 def spans(spark):
     """5 traces of 10 spans."""
@@ -217,6 +228,28 @@ def test_index_makes_no_pairs_of_rows(spark, far, probes):
         assert exact[i] == order(i, lambda j: True) and found[i] == order(i, lambda j: cell[j] in asks)  # noqa: B023
 
 
+def test_subtree_reads_its_spans_once_and_has_no_limit_of_rows(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    # a tree of two children each, a chain below its last span, a second tree and a cycle; one span of another tenant
+    rows = [(1, f"s{i}", f"s{i // 2}" if i > 1 else None) for i in range(1, 201)] + [(1, f"c{i}", f"c{i - 1}" if i else "s200") for i in range(5)]
+    rows += [(1, "o1", None), (1, "o2", "o1"), (1, "x", "y"), (1, "y", "x"), (2, "z", "s1")]
+    df = spark.createDataFrame(rows, "tenant_id long, span_id string, parent_span_id string").mapInArrow(counted, "tenant_id long, span_id string, parent_span_id string")
+    want = {(f"s{i}", i.bit_length() - 1) for i in range(1, 201)} | {(f"c{i}", 8 + i) for i in range(5)}
+    with limited(spark, "spark.sql.cteRecursionRowLimit", "100"):
+        got = [(r.span_id, r.depth) for r in lifecycle.subtree(df, "s1", 1, depth=12).collect()]
+    assert len(got) == len(want) and set(got) == want and max(d for _, d in got) == 12
+    assert read.value == len(rows)
+    assert lifecycle.subtree(df, "none", 1).count() == 0
+    with pytest.raises(Exception, match="(?i)level"):
+        lifecycle.subtree(df, "s1", 1, depth=11).collect()
+
+
 def test_functions_for_plain_sql(spark):
     from spanloom.functions.sql import register
 
